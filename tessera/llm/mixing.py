@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .session import cut
-
-WORD = r"[^\x20\x09-\x0D]+"
+from .textkit import WORD
 
 
 def words(text: Column) -> Column:

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+#: A word, for Spark's and DuckDB's regular expressions.
+WORD = r"[^\x20\x09-\x0D]+"
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
