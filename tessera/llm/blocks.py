@@ -33,7 +33,7 @@ Messages = dict[int, bytes]
 
 def table_bytes(df: DataFrame) -> int:
     """Spark's estimate of the table's size; counted where there is none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size >= 1 << 50:
         size = int(df.select(F.sum(F.octet_length("text"))).first()[0] or 0)
     return size
@@ -153,11 +153,3 @@ def received(back: pa.Table | None) -> tuple[Messages, bytes | None]:
     rows = dict(zip(_column(back, "shard"), _column(back, "body"), strict=True))
     state = next((b for s, b in rows.items() if s & STATE), None)
     return {s: b for s, b in rows.items() if not s & STATE}, state
-
-
-def merge_keys(messages: list[tuple[int, bytes]], high: bool = True) -> tuple[np.ndarray, np.ndarray, list[int], list[list[np.ndarray]]]:
-    """(keys of all messages one after another, where each message ends, blocks, the messages' other arrays)."""
-    opened = [(b, expand(m)) for b, m in messages]
-    keys = [sums(x[0]) for _, x in opened]
-    ends = np.cumsum([len(k) for k in keys])
-    return (np.concatenate(keys) if keys else np.empty(0, np.uint64)), ends, [b for b, _ in opened], [x[1:] for _, x in opened]

@@ -233,3 +233,22 @@ def recompression_dedup(docs: DataFrame, size: int = 35, rounds: int = 3, block_
 
 def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: The same in DuckDB by a hash of each window's words: for small tables.
+OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT r, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN md5(array_to_string(ws[i:i + 34], ' ')) END AS win
+  FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)
+), m AS (
+  SELECT r, i, word, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS hit FROM w
+), c AS (
+  SELECT r, i, word, count_if(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone FROM m
+), a AS (
+  SELECT r, count_if(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM c GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (r)
+"""
