@@ -107,28 +107,29 @@ def range_argmin(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
     return out
 
 
-def signs(name: np.ndarray, bounds: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each window of `size` words in one document, its sign), from word hashes and where the documents' words begin."""
+def signs(name: np.ndarray, bounds: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each window of `size` words in one document, its sign, a number for the place of that symbol), from word hashes and where the documents' words begin."""
     n, doc = len(name), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     starts = np.flatnonzero(doc[size - 1 :] == doc[: n - size + 1]) if n >= size else np.empty(0, np.int64)
     if not len(starts):
-        return starts, np.empty(0, np.uint64)
+        return starts, np.empty(0, np.uint64), starts
     at = np.arange(n)
     levels = [Symbols(name, at, at + 1, doc, bounds)]
     for k in range(rounds):
         levels.append(levels[-1].runs(2 * k + 1).pairs(2 * k + 2))
-    sign, todo = np.empty(len(starts), np.uint64), np.arange(len(starts))
+    sign, place, todo = np.empty(len(starts), np.uint64), np.empty(len(starts), np.int64), np.arange(len(starts))
     for k in range(rounds, -1, -1):
         s, p = levels[k], starts[todo]
         low = np.searchsorted(s.left, p)
         high = np.searchsorted(s.right, p + size, "right") - 1
         has = low <= high
         where = todo[has]
-        sign[where] = mix(s.name[range_argmin(s.name, low[has], high[has])] ^ U(k))
+        symbol = range_argmin(s.name, low[has], high[has])
+        sign[where], place[where] = mix(s.name[symbol] ^ U(k)), symbol * (rounds + 1) + k
         todo = todo[~has]
         if not len(todo):
             break
-    return starts, sign
+    return starts, sign, place
 
 
 def block_words(table: pa.Table):
@@ -175,14 +176,16 @@ def recompression_dedup(docs: DataFrame, size: int = 35, rounds: int = 3, block_
     shards = exchange.shards
 
     def ask_signs(table, answers, state):
-        base, all_starts, all_signs = 0, [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        base, all_starts, all_signs, new = 0, [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, bool)]
         for c in chunks(table["text"]):
-            starts, sign = signs(c.word_hashes(), c.doc_words, size, rounds)
+            starts, sign, place = signs(c.word_hashes(), c.doc_words, size, rounds)
+            new.append(np.concatenate([np.ones(min(1, len(starts)), bool), (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
             all_starts.append(starts + base)
             all_signs.append(sign)
             base += len(c.starts)
         starts, sign = np.concatenate(all_starts), np.concatenate(all_signs)
-        new = np.flatnonzero(np.concatenate([[True], (sign[1:] != sign[:-1]) | (starts[1:] != starts[:-1] + 1)])) if len(starts) else starts
+        # windows one after another under one symbol are asked for once; two symbols of one name are two
+        new = np.flatnonzero(np.concatenate(new))
         messages, which = ask_twice(sign[new] >> KEY_SHIFT, shards, KEY_SHIFT)
         yield from messages
         yield None, squeeze(deltas(starts[new]), np.diff(np.append(new, len(starts))).astype(np.uint32), which.astype(np.uint32))
