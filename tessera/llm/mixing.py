@@ -88,11 +88,12 @@ def _fold(level: int, seed: int) -> str:
     return f"aggregate(q, named_struct('total', {total}, 'n', {total} div 2, 'out', filter(transform(q, x -> named_struct('rank', x.rank, 'draws', x.draws)), x -> false)), (s, x) -> {step}, s -> s.out)"
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, blocks: int = 1024, levels: int = 4, seed: int = 29) -> DataFrame:
-    """docs (source, text, ...) with size, source_size, target, copies and shards: the output shards its copies go to, and place: its order in a shard."""
-    keep = docs.columns
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, blocks: int = 1024, levels: int = 4, seed: int = 29, carry: list[str] | None = None) -> DataFrame:
+    """__row (a struct of the columns in carry, all if None) for each row of docs (source, text, ...), with size, source_size,
+    target, copies, shards: the output shards its copies go to, and place: its order in a shard."""
+    keep = docs.columns if carry is None else carry
     order = F.xxhash64(F.lit(seed), "__key", "size")
-    sized = docs.select(F.struct(*keep).alias("__row"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), (F.col("doc_id") if "doc_id" in keep else F.xxhash64("text")).alias("__key"))
+    sized = docs.select(F.struct(*keep).alias("__row"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), (F.col("doc_id") if "doc_id" in docs.columns else F.xxhash64("text")).alias("__key"))
     dealt = sized.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "__key", "size"), F.lit(blocks)).cast("int"))
     by_block = cut(dealt.groupBy("source", "block").agg(F.sum("size").alias("block_size"), F.count("*").alias("docs")))
     targets = source_targets(by_block.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, share, most)
@@ -138,5 +139,5 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    out = mixed(docs)
+    out = mixed(docs, carry=["doc_id"])
     return out.select(F.col("__row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "shards")

@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one of this machine only where it is unset."""
+    where = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if where.isDefined():
+        return where.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared folder that spark.checkpoint.dir names (a temporary one only where it is unset)."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()

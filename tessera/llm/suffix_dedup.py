@@ -167,7 +167,7 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10, block_bytes: int = 3 << 20, shard_bytes: int = 6 << 20, kept: bool = False, columns: list[str] | None = None) -> DataFrame:
-    """For each row of docs (doc_id, text, columns): n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: what remains."""
+    """For each row of docs (doc_id, text, columns): n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: what remains, without parts of characters."""
     if size % step:
         raise ValueError("size must be a multiple of step")
     extra = columns or []
@@ -290,13 +290,13 @@ def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10
         rest = [data[i:j][~gone[i:j]].tobytes() if g[j] > g[i] else data[i:j].tobytes() for i, j in zip(starts, ends, strict=True)]
         out = {"doc_id": table["doc_id"], **{c: table[c] for c in extra}, "n_bytes": pa.array(ends - starts, pa.int64()), "n_removed": pa.array(g[ends] - g[starts], pa.int64()), "n_spans": pa.array(b[ends] - b[starts], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in rest], pa.string())}
         if kept:
-            out["kept"] = pa.array(rest, pa.binary())
+            out["kept"] = pa.array([x.decode("utf-8", "ignore") for x in rest], pa.string())
         return pa.table(out)
 
     exchange.round(ask_anchors, answer_anchors)
     exchange.round(ask_texts, answer_texts)
     kinds = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in extra), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept binary"] * kept])
+    schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in extra), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept string"] * kept])
     return exchange.finish(remove, schema)
 
 
