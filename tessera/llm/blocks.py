@@ -39,7 +39,7 @@ def table_bytes(df: DataFrame) -> int:
     return size
 
 
-def blocked(docs: DataFrame, columns: list[str], block_bytes: int = 3 << 20, least: int = 64) -> tuple[DataFrame, int]:
+def blocked(docs: DataFrame, columns: list[str], block_bytes: int = 3 << 19, least: int = 64) -> tuple[DataFrame, int]:
     """docs with `block` from doc_id and text, and how many blocks there are."""
     n = max(least, math.ceil(table_bytes(docs) / block_bytes))
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *columns)

@@ -52,7 +52,7 @@ def block_grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarr
     return grams, count, place
 
 
-def lm_scoring(docs: DataFrame, order: int = 3, least: int = 2, backoff: float = 0.4, block_bytes: int = 3 << 20, shard_bytes: int = 6 << 20) -> DataFrame:
+def lm_scoring(docs: DataFrame, order: int = 3, least: int = 2, backoff: float = 0.4, block_bytes: int = 3 << 19, shard_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, log_score (natural) and mean_log_score for each row of docs (doc_id, text)."""
     blocks, _ = blocked(docs, [], block_bytes)
     exchange = Exchange(blocks, max(64, math.ceil(table_bytes(docs) / shard_bytes)))

@@ -168,7 +168,7 @@ def told(answers) -> np.ndarray:
     return np.concatenate([np.unpackbits(x, count=int(n[0])) for n, x in parts]).astype(bool) if parts else np.empty(0, bool)
 
 
-def recompression_dedup(docs: DataFrame, size: int = 35, rounds: int = 3, block_bytes: int = 3 << 20, shard_bytes: int = 6 << 20, kept: bool = False, columns: list[str] | None = None) -> DataFrame:
+def recompression_dedup(docs: DataFrame, size: int = 35, rounds: int = 3, block_bytes: int = 3 << 19, shard_bytes: int = 4 << 20, kept: bool = False, columns: list[str] | None = None) -> DataFrame:
     """For each row of docs (doc_id, text, columns): n_words, n_removed, kept_sha256 and, if asked for, kept: the words that remain."""
     extra = columns or []
     blocks, _ = blocked(docs, extra, block_bytes)

@@ -166,7 +166,7 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], ends[:-1]]), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10, block_bytes: int = 3 << 20, shard_bytes: int = 6 << 20, kept: bool = False, columns: list[str] | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10, block_bytes: int = 3 << 19, shard_bytes: int = 2 << 20, kept: bool = False, columns: list[str] | None = None) -> DataFrame:
     """For each row of docs (doc_id, text, columns): n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: what remains, without parts of characters."""
     if size % step:
         raise ValueError("size must be a multiple of step")

@@ -24,7 +24,7 @@ BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1342543DE82EF95
 
 #: Text handled at a time, in bytes; a longer document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
