@@ -31,34 +31,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .blocks import Exchange, blocked, deltas, expand, shard_runs, squeeze, sums, table_bytes
-from .textkit import BYTE_BASE, BYTE_VALUE, U, chunks, mix, prefix_sums, span_hash, window_argmin, windows
+from .textkit import BYTE_BASE, BYTE_VALUE, U, chunks, mix, prefix_sums, span_hash, windows
 
 NEVER = np.iinfo(np.int64).max
 #: Low hash bits that the first round leaves out: keys alike by chance only ask for a text in vain.
 KEY_SHIFT = U(16)
+#: Tags by which a shard tells anchors apart; two that share one are merged together.
+TAGS = 1 << 24
+#: Bytes of text of which a shard makes transforms at a time.
+PART_BYTES = 1 << 20
 
 
 def doc_ids(table: pa.Table) -> np.ndarray:
     return table["doc_id"].fill_null(NEVER).to_numpy().astype(np.int64)
 
 
-def block_anchors(table: pa.Table, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place of each anchor among the block's bytes, its first window, its number of windows, its row), in order."""
-    base, out = 0, []
+def window_minima(h: np.ndarray, width: int) -> np.ndarray:
+    """For each window of `width` hashes the place of its least one.
+
+    The lowest bits give way to the place, so that the minimum tells it; among equal
+    hashes any one is as good, since only its value must be the same in equal windows.
+    """
+    bits = max(1, (width - 1).bit_length())
+    low = U((1 << bits) - 1)
+    place = np.arange(len(h), dtype=np.uint64)
+    m, have = (h & ~low) | (place & low), 1
+    while 2 * have <= width:
+        m = np.minimum(m[:-have], m[have:])
+        have *= 2
+    if have < width:
+        m = np.minimum(m[: len(m) - (width - have)], m[width - have :])
+    start = place[: len(m)]
+    return (start + ((m - start) & low)).astype(np.int64)
+
+
+def block_anchors(table: pa.Table, size: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(place of each anchor among the block's bytes, its hash, its first window, its number of windows, its row), in order."""
+    base, out = 0, [(np.empty(0, np.int64), np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)]
     for c in chunks(table["text"]):
-        h = windows(BYTE_VALUE[c.data], gram, BYTE_BASE)
         if len(c.data) >= size:
-            least = window_argmin(h, size - gram + 1)
-            doc = np.repeat(np.arange(c.n), np.diff(c.offsets))[: len(least)]
-            own = np.flatnonzero(np.arange(len(least)) + size <= c.offsets[1:][doc])
-            at = least[own]
-            change = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[own][1:] != doc[own][:-1])])) if len(own) else np.empty(0, np.int64)
+            h = windows(BYTE_VALUE[c.data], gram, BYTE_BASE)
+            least = window_minima(h, size - gram + 1)
+            doc = np.repeat(np.arange(c.n, dtype=np.int32), np.diff(c.offsets))
+            own = np.flatnonzero(doc[: len(least)] == doc[size - 1 : size - 1 + len(least)])
+            at, doc = least[own], doc[own]
+            change = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])) if len(own) else np.empty(0, np.int64)
             n = np.diff(np.append(change, len(own)))
-            out.append((at[change] + base, own[change] + base, n, doc[own][change] + c.first))
+            out.append((at[change] + base, h[at[change]], own[change] + base, n, doc[change].astype(np.int64) + c.first))
         base += len(c.data)
-    if not out:
-        e = np.empty(0, np.int64)
-        return e, e, e, e
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -72,30 +92,34 @@ def dense(keys: np.ndarray) -> np.ndarray:
     """Ranks of the keys, equal for equal ones."""
     order = np.argsort(keys)
     k = keys[order]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]])) if len(k) else 0
+    out = np.empty(len(keys), np.uint32)
+    out[order] = np.cumsum(np.concatenate([[False], k[1:] != k[:-1]]), dtype=np.uint32) if len(k) else 0
     return out
 
 
 class Rotations:
-    """Texts as cyclic strings: rank(n) orders all rotations by their first n bytes."""
+    """Texts as cyclic strings: ranks order all rotations by their first bytes."""
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray):
         self.data = data
-        begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.begin, self.length = np.repeat(begin, lengths), np.repeat(lengths, lengths)
-        self.at = np.arange(len(data)) - self.begin
+        begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int32)
+        self.begin, self.length = np.repeat(begin, lengths), np.repeat(lengths.astype(np.int32), lengths)
+        self.at = np.arange(len(data), dtype=np.int32) - self.begin
 
     def later(self, n: int) -> np.ndarray:
-        """The rotation that starts n bytes after each one."""
-        return self.begin + (self.at + n) % self.length
-
-    def rank(self, n: int) -> np.ndarray:
-        key, have = np.zeros(len(self.data), np.uint64), 0
-        for i in range(min(8, n)):
+        """The rotation that starts n bytes after each one; |n| is less than any length."""
+        at = self.at + np.int32(n)
+        return self.begin + np.where(at >= self.length, at - self.length, np.where(at < 0, at + self.length, at))
+
+    def first_rank(self, n: int) -> np.ndarray:
+        """Ranks by the first n bytes."""
+        key, have = np.zeros(len(self.data), np.uint64), min(8, n)
+        for i in range(have):
             key = key << U(8) | self.data[self.later(i)]
-            have += 1
-        rank = dense(key)
+        return self.longer(dense(key), have, n)
+
+    def longer(self, rank: np.ndarray, have: int, n: int) -> np.ndarray:
+        """Ranks by n bytes from ranks by `have`, doubling."""
         while have < n:
             step = min(have, n - have)
             rank = dense(rank.astype(np.uint64) << U(32) | rank[self.later(step)].astype(np.uint64))
@@ -112,52 +136,60 @@ def merged_intervals(data: np.ndarray, lengths: np.ndarray, half: np.ndarray, si
     which orders it by `step` bytes more.
     """
     r = Rotations(data, lengths)
-    symbol = r.rank(step)
+    symbol = r.first_rank(step)
     before = symbol[r.later(-step)]
     side = np.repeat(half, lengths)
     transform, places = [], []
     for s in (0, 1):
         own = np.flatnonzero(side == s)
         if len(own):
-            keep = half == s
-            order = np.argsort(Rotations(data[own], lengths[keep]).rank(size), kind="stable")
-            own = own[order]
+            part = Rotations(data[own], lengths[half == s])
+            own = own[np.argsort(part.longer(symbol[own], step, size))]
         places.append(own)
         transform.append(before[own])
     n = len(data)
-    z = np.zeros(n, np.int8)
-    z[len(places[0]) :] = 1
-    interval = np.zeros(n, np.uint64)
+    z = np.zeros(n, bool)
+    z[len(places[0]) :] = True
+    interval = np.zeros(n, np.uint32)
     index = np.arange(n, dtype=np.uint64)
     for _ in range(size // step):
-        one = z == 1
-        c = np.empty(n, np.uint64)
-        c[~one], c[one] = transform[0], transform[1]
-        key = c << U(32) | index
+        key = np.empty(n, np.uint64)
+        key[~z], key[z] = transform[0], transform[1]
+        key = key << U(32) | index
         key.sort()
-        order = (key & U(0xFFFFFFFF)).astype(np.int64)
-        c = key >> U(32)
+        order = key.astype(np.uint32)
+        c = (key >> U(32)).astype(np.uint32)
         z, old = z[order], interval[order]
-        opens = np.concatenate([[False], (c[1:] != c[:-1]) | (old[1:] != old[:-1])])
-        interval = np.cumsum(opens).astype(np.uint64)
+        interval = np.cumsum(np.concatenate([[False], (c[1:] != c[:-1]) | (old[1:] != old[:-1])]), dtype=np.uint32)
     rotations = np.empty(n, np.int64)
-    rotations[z == 0], rotations[z == 1] = places[0], places[1]
-    return rotations, interval.astype(np.int64)
+    rotations[~z], rotations[z] = places[0], places[1]
+    return rotations, interval
 
 
 def least_docs(data: np.ndarray, lengths: np.ndarray, docs: np.ndarray, half: np.ndarray, size: int, step: int) -> np.ndarray:
-    """For each byte the least document with the same `size` bytes from there; NEVER in the last size - 1 bytes of a text."""
+    """For each window of each text, one after another, the least document with the same `size` bytes."""
+    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    at = gather(begin, lengths - size + 1)
     if not len(data):
-        return np.empty(0, np.int64)
+        return at
     rotations, interval = merged_intervals(data, lengths, half, size, step)
-    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    full = np.arange(len(data)) - np.repeat(begin, lengths) <= np.repeat(lengths, lengths) - size
-    own = np.where(full, np.repeat(docs, lengths), NEVER)
+    # rotations that run over a text's end are no windows
+    own = np.full(len(data), NEVER)
+    own[at] = np.repeat(docs, lengths - size + 1)
     edges = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
     least = np.minimum.reduceat(own[rotations], edges)[interval]
-    out = np.empty(len(data), np.int64)
-    out[rotations] = least
-    return np.where(full, out, NEVER)
+    own[rotations] = least
+    return own[at]
+
+
+def runs_of(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of equal values in stretches of n[i] values: (runs of each stretch, lengths, values)."""
+    ends = np.cumsum(n)
+    edge = np.ones(len(values), bool)
+    edge[1:] = values[1:] != values[:-1]
+    edge[ends[:-1]] = True
+    at = np.flatnonzero(edge)
+    return np.bincount(np.searchsorted(ends, at, "right"), minlength=len(n)), np.diff(np.append(at, len(values))), values[at]
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -179,9 +211,8 @@ def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10
         return np.unique(hashes >> KEY_SHIFT, return_inverse=True)
 
     def ask_anchors(table, answers, state):
-        at, low, n, row = block_anchors(table, size, gram)
-        _, s = byte_sums(table)
-        keys, inverse = keys_of(span_hash(s, at, at + gram, BYTE_BASE))
+        at, hashes, low, n, row = block_anchors(table, size, gram)
+        keys, inverse = keys_of(hashes)
         first = np.full(len(keys), -1)
         first[inverse] = row
         several = np.zeros(len(keys), bool)
@@ -230,31 +261,48 @@ def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10
         least = np.minimum.reduceat(doc[order], edges) if len(edges) else doc
         for shard, i, j in shard_runs(k1[edges], shards):
             rows = chosen[i:j]
-            yield shard, squeeze(n[rows].astype(np.uint8 if size < 256 else np.uint32), data[gather(low[rows], n[rows] + size - 1)], least[i:j])
+            tag = (hashes[rows] >> U(8)).astype(np.uint32) & np.uint32(TAGS - 1)
+            yield shard, squeeze(n[rows].astype(np.uint8 if size < 256 else np.uint32), tag, data[gather(low[rows], n[rows] + size - 1)], least[i:j])
         yield None, squeeze(deltas(low), which.astype(np.uint32), deltas(row[take]))
 
     def answer_texts(messages):
         opened = [(b, *expand(m)) for b, m in messages]
-        n = np.concatenate([x[1] for x in opened]).astype(np.int64)
-        data, docs_ = np.concatenate([x[2] for x in opened]), np.concatenate([x[3] for x in opened])
+        n, tag, docs_ = (np.concatenate([x[k] for x in opened]) for k in (1, 2, 4))
+        n, data = n.astype(np.int64), np.concatenate([x[3] for x in opened])
         source = np.repeat(np.arange(len(opened)), [len(x[1]) for x in opened])
         lengths = n + size - 1
         begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        text = mix(span_hash(prefix_sums(BYTE_VALUE[data], BYTE_BASE), begin, begin + lengths, BYTE_BASE) ^ n.astype(np.uint64))
-        _, first, inverse = np.unique(text, return_index=True, return_inverse=True)
-        least = np.full(len(first), NEVER)
-        np.minimum.at(least, inverse, docs_)
-        chosen = data[gather(begin[first], lengths[first])]
-        found = least_docs(chosen, lengths[first], least, (source[first] & 1).astype(np.int8), size, step)
-        at = np.concatenate([[0], np.cumsum(lengths[first])[:-1]])
-        values = found[gather(at[inverse], n)]
-        ends = np.cumsum(n)
-        edge = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.empty(0, bool)
-        edge[ends[:-1]] = True
-        runs = np.flatnonzero(edge)
-        of_text = np.searchsorted(ends, runs, "right")
-        length, value = np.diff(np.append(runs, len(values))), values[runs]
-        per_text = np.bincount(of_text, minlength=len(n))
+        done: list[tuple[np.ndarray, ...]] = []
+        # equal windows have one anchor and so one tag: a few tags at a time bound the memory
+        parts = 1 + len(data) // PART_BYTES
+        for p in range(parts):
+            own = np.flatnonzero(tag % np.uint32(parts) == p) if parts > 1 else np.arange(len(n))
+            s = prefix_sums(BYTE_VALUE[data[gather(begin[own], lengths[own])]], BYTE_BASE)
+            at = np.concatenate([[0], np.cumsum(lengths[own])[:-1]])
+            text = mix(span_hash(s, at, at + lengths[own], BYTE_BASE) ^ tag[own].astype(np.uint64))
+            _, first, inverse = np.unique(text, return_index=True, return_inverse=True)
+            least = np.full(len(first), NEVER)
+            np.minimum.at(least, inverse, docs_[own])
+            first = own[first]
+            # an anchor with one text only has nothing to merge: its windows' least document is the text's
+            _, group, texts = np.unique(tag[first], return_inverse=True, return_counts=True)
+            several = np.flatnonzero(texts[group] > 1)
+            count, length, value = np.ones(len(first), np.int64), n[first], least
+            if len(several):
+                rows = first[several]
+                found = least_docs(data[gather(begin[rows], lengths[rows])], lengths[rows], least[several], (source[rows] & 1).astype(np.int8), size, step)
+                c, m, v = runs_of(found, n[rows])
+                single = np.flatnonzero(texts[group] == 1)
+                count[several] = c
+                owner = np.concatenate([single, np.repeat(several, c)])
+                order = np.argsort(owner, kind="stable")
+                length, value = np.concatenate([length[single], m])[order], np.concatenate([value[single], v])[order]
+            start = np.concatenate([[0], np.cumsum(count)[:-1]])
+            take = gather(start[inverse], count[inverse])
+            done.append((np.repeat(own, count[inverse]), length[take], value[take]))
+        owner, length, value = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(owner, kind="stable")
+        length, value, per_text = length[order], value[order], np.bincount(owner, minlength=len(n))
         stop = np.cumsum(per_text)
         i = 0
         for k, (block, m, *_) in enumerate(opened):

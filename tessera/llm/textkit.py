@@ -144,30 +144,3 @@ def chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Itera
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield Chunk(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i)
         i = j
-
-
-def local_min_positions(values: np.ndarray, width: int) -> np.ndarray:
-    """Places that hold the minimum (the leftmost) of some `width` neighbours: at least one in each such window."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    return np.unique(window_argmin(values, width))
-
-
-def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` values the place of its leftmost minimum (two-block prefix and suffix minima)."""
-    n = len(values) - width + 1
-    blocks = -(-len(values) // width)
-    v = np.full(blocks * width, np.iinfo(values.dtype).max, values.dtype)
-    v[: len(values)] = values
-    v = v.reshape(blocks, width)
-    at = np.arange(blocks * width, dtype=np.int64).reshape(blocks, width)
-    low = np.minimum.accumulate(v, axis=1)
-    place = np.maximum.accumulate(np.where((v == low) & np.concatenate([np.ones((blocks, 1), bool), low[:, 1:] < low[:, :-1]], axis=1), at, 0), axis=1).ravel()
-    back = np.minimum.accumulate(v[:, ::-1], axis=1)
-    keep = v[:, ::-1] == back  # from the right: each later (more left) equal value wins
-    behind = np.where(keep, at[:, ::-1], np.iinfo(np.int64).max)
-    behind = np.minimum.accumulate(behind, axis=1)[:, ::-1].ravel()
-    low, back = low.ravel(), back[:, ::-1].ravel()
-    left, right = np.arange(n), np.arange(width - 1, width - 1 + n)
-    return np.where(back[left] <= low[right], behind[left], place[right])
