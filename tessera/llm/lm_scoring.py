@@ -60,9 +60,11 @@ def lm_scoring(docs: DataFrame, order: int = 3, least: int = 2, backoff: float =
     total = int(docs.select(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)))).first()[0] or 0)
 
     def ask(keys):
-        different, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-        messages = [(s, squeeze(deltas(different[i:j]), narrow(count[i:j]))) for s, i, j in shard_runs(different << KEY_SHIFT, shards)]
-        return messages, inverse
+        different, count = np.unique(keys, return_counts=True)
+        return [(s, squeeze(deltas(different[i:j]), narrow(count[i:j]))) for s, i, j in shard_runs(different << KEY_SHIFT, shards)]
+
+    def short(grams, place):
+        return np.concatenate([grams[0], grams[1][place >= 1]] if order > 1 else [grams[0]])
 
     def add(messages):
         opened = [(b, *expand(m)) for b, m in messages]
@@ -74,26 +76,25 @@ def lm_scoring(docs: DataFrame, order: int = 3, least: int = 2, backoff: float =
             yield block, squeeze(narrow(summed[at : at + len(k)]))
             at += len(k)
 
-    def told(answers):
-        return np.concatenate([expand(answers[s])[0].astype(np.int64) for s in sorted(answers)] or [np.empty(0, np.int64)])
+    def told(answers, keys):
+        """The sums for the keys that were asked for; their order is made again, as it would be long to keep."""
+        sums_ = np.concatenate([expand(answers[s])[0].astype(np.int64) for s in sorted(answers)] or [np.empty(0, np.int64)])
+        return sums_[np.unique(keys, return_inverse=True)[1]] if len(keys) else sums_
 
     def ask_short(table, answers, state):
         grams, _, place = block_grams(table, 2)
-        messages, inverse = ask(np.concatenate([grams[0], grams[1][place >= 1]] if order > 1 else [grams[0]]))
-        yield from messages
-        yield None, squeeze(inverse.astype(np.uint32))
+        yield from ask(short(grams, place))
 
     def longer(n):
         """Round for the n-grams whose two parts of n - 1 words occur often enough."""
 
         def go(table, answers, state):
             grams, _, place = block_grams(table, n)
-            known = counts(state, answers, place, n - 1)
+            known = counts(state, answers, grams, place, n - 1)
             often = known[n - 2] >= least
             asked = np.flatnonzero((place >= n - 1) & often & np.concatenate([[False], often[:-1]]))
-            messages, inverse = ask(grams[n - 1][asked])
-            yield from messages
-            yield None, squeeze(*[narrow(k) for k in known], asked_bits(asked, len(place)), inverse.astype(np.uint32))
+            yield from ask(grams[n - 1][asked])
+            yield None, squeeze(*[narrow(k) for k in known], asked_bits(asked, len(place)))
 
         return go
 
@@ -102,23 +103,22 @@ def lm_scoring(docs: DataFrame, order: int = 3, least: int = 2, backoff: float =
         bits[asked] = True
         return np.packbits(bits)
 
-    def counts(state, answers, place, n):
+    def counts(state, answers, grams, place, n):
         """Counts of the 1- .. n-grams that end at each word, 0 where not asked for."""
-        parts, got = expand(state), told(answers)
         if n <= 2:
-            c = got[parts[0]] if len(parts[0]) else got
+            c = told(answers, short(grams, place))
             uni = c[: len(place)]
             bi = np.zeros(len(place), np.int64)
             bi[place >= 1] = c[len(place) :]
             return [uni, bi][: max(1, min(order, 2))]
-        last = np.zeros(len(place), np.int64)
-        asked = np.flatnonzero(np.unpackbits(parts[-2], count=len(place)))
-        last[asked] = got[parts[-1]] if len(asked) else 0
-        return [p.astype(np.int64) for p in parts[:-2]] + [last]
+        parts, last = expand(state), np.zeros(len(place), np.int64)
+        asked = np.flatnonzero(np.unpackbits(parts[-1], count=len(place)))
+        last[asked] = told(answers, grams[n - 1][asked])
+        return [p.astype(np.int64) for p in parts[:-1]] + [last]
 
     def score(table, answers, state):
-        _, n_words, place = block_grams(table, 1)
-        c = counts(state, answers, place, order)
+        grams, n_words, place = block_grams(table, order)
+        c = counts(state, answers, grams, place, order)
         with np.errstate(divide="ignore"):
             s = np.log(c[0].astype(np.float64) / max(total, 1))
             for n in range(2, order + 1):

@@ -104,6 +104,13 @@ def linked(ids: list[int], sets: list[np.ndarray], k: int, percent: int, margin:
     values, owner = values[order], owner[order]
     threshold = percent / 100
     need = np.where(size <= threshold * k, np.ceil(size * threshold - 1e-9), np.ceil(np.minimum(size, k) / 2))
+    # sketches as rows, padded by values that no shingle has, and all postings of the full sets
+    rows = np.full((n, k), np.iinfo(np.uint64).max, np.uint64)
+    for i, x in enumerate(sketch):
+        rows[i, : len(x)] = x
+    flat = np.concatenate(sets) if n else EMPTY
+    order = np.argsort(flat, kind="stable")
+    flat, holder = flat[order], np.repeat(np.arange(n, dtype=np.int32), size)[order]
     fresh, out = np.ones(n, bool), []
     for seed in range(n):
         if not fresh[seed]:
@@ -118,32 +125,37 @@ def linked(ids: list[int], sets: list[np.ndarray], k: int, percent: int, margin:
                 continue
             overlap = np.bincount(np.concatenate(lists), minlength=n)
             short, long = np.minimum(size, size[x]), np.maximum(size, size[x])
-            for y in np.flatnonzero(fresh & (overlap > 0) & (overlap >= np.minimum(need, need[x])) & (100 * short >= percent * long)).tolist():
-                if estimate(sketch[x], sketch[y], k) < threshold - margin:
-                    continue
-                both = common(sets[x], sets[y])
-                if 100 * both >= percent * (size[x] + size[y] - both):
-                    fresh[y] = False
-                    out.append((ids[x], ids[y]))
-                    queue.append(y)
+            near = np.flatnonzero(fresh & (overlap > 0) & (overlap >= np.minimum(need, need[x])) & (100 * short >= percent * long))
+            if len(near):
+                near = near[estimates(rows[x], rows[near], k) >= threshold - margin]
+            if not len(near):
+                continue
+            low, high = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+            both = np.bincount(holder[runs(low, high - low)], minlength=n)[near]
+            found = near[100 * both >= percent * (size[x] + size[near] - both)]
+            fresh[found] = False
+            out += [(ids[x], ids[y]) for y in found.tolist()]
+            queue += found.tolist()
     return out
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[i] .. starts[i] + lengths[i], one run after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
-    """Share of the union's k least values that both sketches hold."""
-    union = np.union1d(a, b)[:k]
-    return common(union, a[np.isin(a, b, assume_unique=True)]) / len(union)
+def estimates(x: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
+    """For each row of others the share of its union with x's k least values that both hold."""
+    none = np.iinfo(np.uint64).max
+    merged = np.sort(np.concatenate([np.broadcast_to(x, others.shape), others], axis=1), axis=1)
+    same = (merged[:, 1:] == merged[:, :-1]) & (merged[:, 1:] != none)
+    real = merged != none
+    rank = np.cumsum(real & ~np.concatenate([np.zeros((len(merged), 1), bool), same], axis=1), axis=1)
+    return (same & (rank[:, 1:] <= k)).sum(axis=1) / np.maximum(np.minimum(rank[:, -1], k), 1)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, group_docs: int = 20_000, columns: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, group_docs: int = 4_000, columns: list[str] | None = None) -> DataFrame:
     """doc_id, columns, n_shingles, component_id and kept for each row of docs (doc_id, text, columns)."""
     extra = columns or []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, F.col("text").cast("string").alias("text"))
