@@ -88,11 +88,12 @@ def taps(pixels: DataFrame, level: Level, method: str, scales: tuple[float, floa
 
 
 def tap_values(tapped: DataFrame, tiles: DataFrame, level: Level, bands: list[int]) -> DataFrame:
-    """The taps with band and v: the sample there, null where its tile is missing or sparse."""
+    """The taps with band and v: the sample there, NaN in a sparse tile (one without pixels), null where there is no tile."""
     keyed = tapped.withColumn("tile_index", geo.tile_index(F.col("px"), F.col("py"), level))
     at = geo.pixel_in_tile(F.col("px"), F.col("py"), level)
-    joined = keyed.join(tiles.select("tile_index", "pixels"), "tile_index", "left")
-    picks = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(b).alias("band"), F.try_element_at("pixels", (at + b + 1).cast("int")).cast("double").alias("v")) for i, b in enumerate(bands)])
+    joined = keyed.join(tiles.select("tile_index", "pixels", F.lit(True).alias("found")), "tile_index", "left")
+    nan = F.when(F.col("found") & F.col("pixels").isNull(), float("nan"))
+    picks = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(b).alias("band"), F.coalesce(F.try_element_at("pixels", (at + b + 1).cast("int")).cast("double"), nan).alias("v")) for i, b in enumerate(bands)])
     return joined.select("oy", "ox", "w", "b", "centre", "whole", F.inline(picks))
 
 
@@ -108,7 +109,8 @@ def check_bands(bands: list[int] | None, level: Level) -> list[int]:
 
 
 def extract(tiles: DataFrame, level: Level, grid: OutputGrid, method: str = "nearest", bands: list[int] | None = None, pixels: DataFrame | None = None) -> DataFrame:
-    """(oy, ox, ordinal, band, value) of every output pixel; value is the nodata value, or null, where there is nothing.
+    """(oy, ox, ordinal, band, value) of every output pixel; value is the nodata value, or null, where
+    there is nothing, and null for the NaN of sparse tiles.
 
     tiles: (tile_index, pixels), pixel-interleaved.  pixels: other positions than the
     grid's own, as from a projection; the grid then gives only the ratio.
@@ -133,8 +135,7 @@ def extract(tiles: DataFrame, level: Level, grid: OutputGrid, method: str = "nea
         F.max(F.when(F.col("centre"), ok)).alias("near_ok"),
     )
     fill = F.lit(level.nodata).cast("float").cast("double")
-    sample = F.when(F.isnan("near"), F.lit(None)).otherwise(F.col("near"))
-    nearest = F.coalesce(sample, fill)
+    nearest = F.coalesce("near", fill)
     if method == "nearest":
         value = nearest
         sums = sums.withColumn("any_near", F.lit(True))
@@ -152,7 +153,7 @@ def extract(tiles: DataFrame, level: Level, grid: OutputGrid, method: str = "nea
             value = F.when(whole, straight).when(F.col("any_near"), partial).otherwise(nearest)
     found = sums.select("oy", "ox", "ordinal", "band", value.alias("value"))
     want = out.select("oy", "ox", F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(b).alias("band")) for i, b in enumerate(chosen)])))
-    return want.join(found, ["oy", "ox", "ordinal", "band"], "left").select("oy", "ox", "ordinal", "band", F.coalesce("value", fill).alias("value"))
+    return want.join(found, ["oy", "ox", "ordinal", "band"], "left").select("oy", "ox", "ordinal", "band", F.nullif(F.coalesce("value", fill), F.lit(float("nan"))).alias("value"))
 
 
 def needed_tiles(spark: SparkSession, level: Level, grid: OutputGrid, method: str) -> DataFrame:

@@ -90,12 +90,13 @@ def extract_sql(method: str, grid: tuple, nodata: float | None = None, steps: in
     value = f"floor(e.embedding[k0]::DOUBLE * {steps} + 0.5) / {steps}" if steps else "e.embedding[k0]::DOUBLE"
     ok = "v IS NOT NULL AND NOT isnan(v)" + (f" AND v <> {d(nodata)}" if nodata is not None else "")
     picks = ", ".join(f"({i}, {b})" for i, b in enumerate(bands))
+    near = f"CASE WHEN NOT isnan(coalesce(near, 0)) THEN coalesce(near, {fill}) END"
     if method == "nearest":
-        final = f"coalesce(near, {fill})"
+        final = near
     elif scales:
-        final = f"CASE WHEN any_near THEN CASE WHEN w_ok > 1e-6 THEN wv / w_ok ELSE {fill} END ELSE coalesce(near, {fill}) END"
+        final = f"CASE WHEN any_near THEN CASE WHEN w_ok > 1e-6 THEN wv / w_ok ELSE {fill} END ELSE {near} END"
     else:
-        final = f"CASE WHEN n_ok = {4 * support * support} THEN wv / w_all WHEN any_near THEN CASE WHEN b_ok >= 1e-5 THEN bv / b_ok ELSE {fill} END ELSE coalesce(near, {fill}) END"
+        final = f"CASE WHEN n_ok = {4 * support * support} THEN wv / w_all WHEN any_near THEN CASE WHEN b_ok >= 1e-5 THEN bv / b_ok ELSE {fill} END ELSE {near} END"
     return f"""
 WITH g AS (SELECT {tile_height} * CAST(ceil(count(*) / 25.0) AS BIGINT) AS hh FROM embeddings),
 o AS (
@@ -117,7 +118,7 @@ o AS (
 j AS (
   SELECT k.*, ordinal, band, ((py % {tile_height}) * 8 + px % 8) * {n_bands} + band + 1 AS k0 FROM k, p {"WHERE inside" if scales else ""}
 ), s AS (
-  SELECT j.*, CASE WHEN e.label <> 0 THEN {value} END AS v, px = nx AND py = ny AS centre
+  SELECT j.*, CASE WHEN e.label <> 0 THEN {value} WHEN e.label = 0 THEN 'nan'::DOUBLE END AS v, px = nx AND py = ny AS centre
   FROM j LEFT JOIN embeddings e ON e.vec_id = (py // {tile_height}) * 25 + px // 8
 ), a AS (
   SELECT oy, ox, ordinal, band, count_if({ok}{" AND inside" if method == "cubic" else ""}) AS n_ok, sum(w) AS w_all,
