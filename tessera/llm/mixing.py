@@ -70,22 +70,35 @@ def split_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 def _fold(level: int, seed: int) -> str:
     """SQL for the left child's quotas of a node with quotas q: array<struct<rank, draws>>."""
-    low, high = "greatest(0L, s.n - (s.total - x.draws))", "least(s.n, x.draws)"
+
+    def bind(body: str, **values: str) -> str:
+        """body with names for values, each worked out once."""
+        for name, value in reversed(values.items()):
+            body = f"transform(array({value}), {name} -> {body})[0]"
+        return body
+
+    # of total balls, x.draws of this source, n go left: weights relative to the likeliest number's, walked up from it, then down
     ratio = "(cast(x.draws - k as double) * (s.n - k)) / (cast(k + 1 as double) * (s.total - x.draws - s.n + k + 1))"
-    mode = f"least(greatest(cast(floor(cast(s.n + 1 as double) * (x.draws + 1) / (s.total + 2)) as bigint), {low}), {high})"
-    rising = f"filter(sequence({low}, {high}), k -> k >= {mode} and k < {high})"
-    falling = f"reverse(filter(sequence({low}, {high}), k -> k >= {low} and k < {mode}))"
-    # weights relative to the mode's: p of this k, c their sum so far; k: the choice, -1 before it
-    mass_up = f"aggregate({rising}, named_struct('p', 1D, 'c', 0D), (a, k) -> named_struct('p', a.p * {ratio}, 'c', a.c + a.p * {ratio})).c"
-    mass_down = f"aggregate({falling}, named_struct('p', 1D, 'c', 0D), (a, k) -> named_struct('p', a.p / ({ratio}), 'c', a.c + a.p / ({ratio}))).c"
-    uniform = f"(pmod(xxhash64({seed}, {level}, node, x.rank), 9007199254740992L) / 9007199254740992D)"
-    target = f"({uniform} * (1D + {mass_up} + {mass_down}))"
-    walk_up = f"aggregate({rising}, named_struct('p', 1D, 'c', 1D, 'k', if({target} < 1D, {mode}, -1L)), (a, k) -> named_struct('p', a.p * {ratio}, 'c', a.c + a.p * {ratio}, 'k', if(a.k >= 0, a.k, if({target} < a.c + a.p * {ratio}, k + 1, -1L))))"
-    walk_down = f"aggregate({falling}, named_struct('p', 1D, 'c', 1D + {mass_up}, 'k', -1L), (a, k) -> named_struct('p', a.p / ({ratio}), 'c', a.c + a.p / ({ratio}), 'k', if(a.k >= 0, a.k, if({target} < a.c + a.p / ({ratio}), k, -1L)))).k"
-    pick = f"if({low} = {high}, {low}, coalesce(nullif({walk_up}.k, -1L), nullif({walk_down}, -1L), {mode}))"
+    mass = "aggregate({ks}, named_struct('p', 1D, 'c', 0D), (a, k) -> bind_p).c"
+    grow, shrink = f"a.p * {ratio}", f"a.p / ({ratio})"
+    add = lambda p: f"transform(array({p}), p -> named_struct('p', p, 'c', a.c + p))[0]"
+    pick = lambda p, k: f"transform(array({p}), p -> named_struct('p', p, 'c', a.c + p, 'k', if(a.k >= 0, a.k, if(want < a.c + p, {k}, -1L))))[0]"
+    choice = bind(
+        "coalesce(nullif(aggregate(rising, named_struct('p', 1D, 'c', 1D, 'k', if(want < 1D, mode, -1L)), (a, k) -> " + pick(grow, "k + 1") + ").k, -1L), "
+        "nullif(aggregate(falling, named_struct('p', 1D, 'c', 1D + above, 'k', -1L), (a, k) -> " + pick(shrink, "k") + ").k, -1L), mode)",
+        low="greatest(0L, s.n - (s.total - x.draws))",
+        high="least(s.n, x.draws)",
+        mode="least(greatest(cast(floor(cast(s.n + 1 as double) * (x.draws + 1) / (s.total + 2)) as bigint), low), high)",
+        rising="filter(sequence(low, high), k -> k >= mode and k < high)",
+        falling="reverse(filter(sequence(low, high), k -> k < mode))",
+        above=mass.format(ks="rising").replace("bind_p", add(grow)),
+        below=mass.format(ks="falling").replace("bind_p", add(shrink)),
+        want=f"(pmod(xxhash64({seed}, {level}, node, x.rank), 9007199254740992L) / 9007199254740992D) * (1D + above + below)",
+    )
+    step = bind("named_struct('total', s.total - x.draws, 'n', s.n - y, 'out', concat(s.out, array(named_struct('rank', x.rank, 'draws', y))))", y=choice)
     total = "aggregate(q, 0L, (t, x) -> t + x.draws)"
-    step = f"transform(array({pick}), y -> named_struct('total', s.total - x.draws, 'n', s.n - y, 'out', concat(s.out, array(named_struct('rank', x.rank, 'draws', y)))))[0]"
-    return f"aggregate(q, named_struct('total', {total}, 'n', {total} div 2, 'out', filter(transform(q, x -> named_struct('rank', x.rank, 'draws', x.draws)), x -> false)), (s, x) -> {step}, s -> s.out)"
+    start = f"named_struct('total', {total}, 'n', {total} div 2, 'out', filter(transform(q, x -> named_struct('rank', x.rank, 'draws', x.draws)), x -> false))"
+    return f"aggregate(q, {start}, (s, x) -> {step}, s -> s.out)"
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, blocks: int = 1024, levels: int = 4, seed: int = 29, carry: list[str] | None = None) -> DataFrame:
