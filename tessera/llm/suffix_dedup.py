@@ -39,7 +39,7 @@ KEY_SHIFT = U(16)
 #: Tags by which a shard tells anchors apart; two that share one are merged together.
 TAGS = 1 << 24
 #: Bytes of text of which a shard makes transforms at a time.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 
 
 def doc_ids(table: pa.Table) -> np.ndarray:
@@ -82,10 +82,21 @@ def block_anchors(table: pa.Table, size: int, gram: int) -> tuple[np.ndarray, ..
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def byte_sums(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(the block's bytes, their prefix sums)."""
-    data = np.concatenate([c.data for c in chunks(table["text"])] or [np.empty(0, np.uint8)])
-    return data, prefix_sums(BYTE_VALUE[data], BYTE_BASE)
+def block_bytes_of(table: pa.Table) -> np.ndarray:
+    return np.concatenate([c.data for c in chunks(table["text"])] or [np.empty(0, np.uint8)])
+
+
+def span_hashes(table: pa.Table, starts: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Hashes of spans (starts, ends) of the block's bytes, chunk by chunk.  starts: ascending, and in the chunk of each span."""
+    base, out = 0, [[np.empty(0, np.uint64)] for _ in spans]
+    for c in chunks(table["text"]):
+        i, j = np.searchsorted(starts, [base, base + len(c.data)])
+        if j > i:
+            s = prefix_sums(BYTE_VALUE[c.data], BYTE_BASE)
+            for k, (a, b) in enumerate(spans):
+                out[k].append(span_hash(s, a[i:j] - base, b[i:j] - base, BYTE_BASE))
+        base += len(c.data)
+    return [np.concatenate(x) for x in out]
 
 
 def dense(keys: np.ndarray) -> np.ndarray:
@@ -198,7 +209,7 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], ends[:-1]]), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10, block_bytes: int = 3 << 19, shard_bytes: int = 2 << 20, kept: bool = False, columns: list[str] | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10, block_bytes: int = 1 << 20, shard_bytes: int = 2 << 20, kept: bool = False, columns: list[str] | None = None) -> DataFrame:
     """For each row of docs (doc_id, text, columns): n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: what remains, without parts of characters."""
     if size % step:
         raise ValueError("size must be a multiple of step")
@@ -238,8 +249,8 @@ def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10
         at, below, n, row = expand(state)
         at, row = sums(at).astype(np.int64), sums(row).astype(np.int64)
         low, n = at - below, n.astype(np.int64)
-        data, s = byte_sums(table)
-        hashes = span_hash(s, at, at + gram, BYTE_BASE)
+        data = block_bytes_of(table)
+        hashes, text = span_hashes(table, at, (at, at + gram), (low, low + n + size - 1))
         keys, inverse = keys_of(hashes)
         found = np.zeros(len(keys), bool)
         for shard, i, j in shard_runs(keys << KEY_SHIFT, shards):
@@ -247,9 +258,9 @@ def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10
                 found[i:j] = np.unpackbits(expand(answers[shard])[0], count=j - i)
         doc = doc_ids(table)[row] if len(row) else row
         take = np.flatnonzero(found[inverse] & (doc != NEVER)) if len(inverse) else np.empty(0, np.int64)
-        low, n, doc, hashes = low[take], n[take], doc[take], hashes[take]
+        low, n, doc, hashes, text = low[take], n[take], doc[take], hashes[take], text[take]
         # one text for all its occurrences here: by shard, then by its hash
-        text = mix(span_hash(s, low, low + n + size - 1, BYTE_BASE) ^ n.astype(np.uint64))
+        text = mix(text ^ n.astype(np.uint64))
         key = (hashes & ~U(0xFFFFFFFF)) | (text >> U(32))
         order = np.lexsort((text, key))
         k1, k2 = key[order], text[order]
@@ -315,7 +326,7 @@ def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10
         low, which, row = expand(state)
         low, row = sums(low).astype(np.int64), sums(row).astype(np.int64)
         parts = [expand(answers[s]) for s in sorted(answers)]
-        data = np.concatenate([c.data for c in chunks(table["text"])] or [np.empty(0, np.uint8)])
+        data = block_bytes_of(table)
         cover = np.zeros(len(data) + 1, np.int32)
         if parts and len(low):
             count = np.concatenate([p[0] for p in parts]).astype(np.int64)
