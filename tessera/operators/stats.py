@@ -36,9 +36,9 @@ def estimate_min_max(tiles: DataFrame, nodata: float | None = None, stats: tuple
 
 
 def fast_tiles(across: int, down: int) -> list[int]:
-    """The corners and the middle tile, each once."""
+    """The corners and the tile half-way through, each once; all of up to five."""
     n = across * down
-    return sorted({0, across - 1, n - across, n - 1, (down // 2) * across + across // 2})
+    return list(range(n)) if n <= 5 else sorted({0, across - 1, n // 2, n - across, n - 1})
 
 
 def estimate_min_max_fast(tiles: DataFrame, across: int, down: int, nodata: float | None = None, stats: tuple[float, float] | None = None) -> DataFrame:

@@ -466,7 +466,7 @@ def minmax_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH g AS (SELECT CAST(ceil(count(*) / 25.0) AS BIGINT) AS d FROM embeddings),
-t AS (SELECT unnest(embedding) AS x FROM embeddings, g WHERE label <> 0 AND vec_id IN (0, 24, 25 * d - 25, 25 * d - 1, (d // 2) * 25 + 12))
+t AS (SELECT unnest(embedding) AS x FROM embeddings, g WHERE label <> 0 AND vec_id IN (0, 24, 25 * d - 25, 25 * d - 1, 25 * d // 2))
 SELECT coalesce(min(x)::DOUBLE, 0) AS min_value, coalesce(max(x)::DOUBLE, 1) AS max_value FROM t WHERE NOT isnan(x)
 """)
 def minmax_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
