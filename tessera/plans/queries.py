@@ -74,8 +74,8 @@ MITCHELL = "CASE WHEN abs({x}) < 1 THEN 7.0::DOUBLE/6*abs({x})**3 - 2*abs({x})**
 CATMULL = "CASE WHEN abs({x}) <= 1 THEN abs({x})**2*(1.5*abs({x}) - 2.5) + 1 WHEN abs({x}) <= 2 THEN abs({x})*(abs({x})*(-0.5*abs({x}) + 2.5) - 4) + 2 ELSE 0 END"
 
 
-def extract_sql(method: str, grid: tuple, nodata: float | None = None, steps: int | None = None, tile_height: int = 8, bands: tuple[int, ...] = (0,), n_bands: int = 1, digits: int = 6) -> str:
-    """The rules of extraction, written out for DuckDB."""
+def extract_sql(method: str, grid: tuple, nodata: float | None = None, steps: int | None = None, tile_height: int = 8, bands: tuple[int, ...] = (0,), n_bands: int = 1, digits: int = 6, positions: tuple[int, str, str] | None = None) -> str:
+    """The rules of extraction, written out for DuckDB.  positions: output height, and source row and column in SQL, in place of the grid's own."""
     width, c0, dc, r0, dr = grid
     d = lambda x: f"CAST({x!r} AS DOUBLE)"
     own = {"nearest": TENT, "bilinear": TENT, "bicubic": MITCHELL, "cubic": CATMULL}[method]
@@ -97,11 +97,12 @@ def extract_sql(method: str, grid: tuple, nodata: float | None = None, steps: in
         final = f"CASE WHEN any_near THEN CASE WHEN w_ok > 1e-6 THEN wv / w_ok ELSE {fill} END ELSE {near} END"
     else:
         final = f"CASE WHEN n_ok = {4 * support * support} THEN wv / w_all WHEN any_near THEN CASE WHEN b_ok >= 1e-5 THEN bv / b_ok ELSE {fill} END ELSE {near} END"
+    rows, r_sql, c_sql = positions or (f"CAST(floor(hh / {d(dr)}) AS BIGINT)", f"{d(r0)} + oy * {d(dr)}", f"{d(c0)} + ox * {d(dc)}")
     return f"""
 WITH g AS (SELECT {tile_height} * CAST(ceil(count(*) / 25.0) AS BIGINT) AS hh FROM embeddings),
 o AS (
-  SELECT oy, ox, hh, {d(r0)} + oy * {d(dr)} AS r, {d(c0)} + ox * {d(dc)} AS c
-  FROM (SELECT hh, unnest(range(CAST(floor(hh / {d(dr)}) AS BIGINT))) AS oy FROM g) CROSS JOIN range({width}) t(ox)
+  SELECT oy, ox, hh, {r_sql} AS r, {c_sql} AS c
+  FROM (SELECT hh, unnest(range({rows})) AS oy FROM g) CROSS JOIN range({width}) t(ox)
 ), x AS (
   SELECT *, unnest(range(CAST(floor(c) AS BIGINT) + 1 - {nx}, CAST(floor(c) AS BIGINT) + 1 + {nx})) AS tx
   FROM o WHERE c >= -0.5 AND c <= 199.5 AND r >= -0.5 AND r <= hh - 0.5
@@ -157,6 +158,34 @@ add_extraction("extract_bands_nodata", "bilinear", FINE, nodata=0.125, steps=8,
 add_extraction("extract_outside_fill", "bilinear", (120, -80.37, 0.71, 0.21, 0.57), nodata=-9999.0)
 
 
+#: A slippy-map tile over the raster, which here lies at 10 degrees east, 60 north, 0.05 degrees a pixel.
+XYZ, XYZ_SIZE = (6, 34, 19), 192
+XYZ_BOX = geo.xyz_bbox(*XYZ)
+XYZ_STEP = (XYZ_BOX[2] - XYZ_BOX[0]) / XYZ_SIZE
+
+
+@query(
+    extract_sql(
+        "cubic",
+        (XYZ_SIZE, 0.0, 0.5, 0.0, 0.5),
+        positions=(
+            XYZ_SIZE,
+            f"(60 - degrees(2 * atan(exp(({XYZ_BOX[3]!r}::DOUBLE - (oy + 0.5::DOUBLE) * {XYZ_STEP!r}::DOUBLE) / 6378137)) - pi() / 2)) / 0.05::DOUBLE - 0.5",
+            f"(degrees(({XYZ_BOX[0]!r}::DOUBLE + (ox + 0.5::DOUBLE) * {XYZ_STEP!r}::DOUBLE) / 6378137) - 10) / 0.05::DOUBLE - 0.5",
+        ),
+    )
+)
+def extract_xyz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Mercator tile of a raster in degrees."""
+    flat = level_of(spark, sf_dir)
+    level = Level(flat.width, flat.height, 8, 8, 1, None, 10.0, 60.0, 0.05, 0.05)
+    n = spark.range(XYZ_SIZE * XYZ_SIZE).select(F.floor(F.col("id") / XYZ_SIZE).cast("int").alias("oy"), (F.col("id") % XYZ_SIZE).cast("int").alias("ox"))
+    lon, lat = crs.transform_xy(XYZ_BOX[0] + (F.col("ox") + 0.5) * XYZ_STEP, XYZ_BOX[3] - (F.col("oy") + 0.5) * XYZ_STEP, 3857, 4326)
+    pixels = n.select("oy", "ox", level.source_y(lat).alias("r"), level.source_x(lon).alias("c"))
+    out = resample.extract(tiles_of(spark, sf_dir), level, OutputGrid(XYZ_SIZE, XYZ_SIZE, 0.0, 0.5, 0.0, 0.5), "cubic", [0], pixels)
+    return out.withColumn("value", rounded(F.col("value"), 6))
+
+
 def one_request(level: Level, grid: tuple, method: str, bands: tuple[int, ...] | None = None) -> kernel.Request:
     """A request, in pixels of the level as world units, whose positions are those of the grid."""
     g = grid_over(level, *grid)
