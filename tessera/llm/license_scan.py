@@ -97,7 +97,9 @@ def license_scan(files: DataFrame, templates: dict[str, str] | None = None, thre
 
     key: alike only for rows with the same path and text.
     """
-    base = files.drop("text").withColumn("directory", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    rest = [c for c in files.columns if c not in ("key", "path", "text")]
+    carried = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None)
+    base = files.select("key", "path", carried.alias("__rest"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("directory"))
     own = cut(declared(files.select("key", "text"), templates or TEMPLATES, threshold))
     named = base.join(own, "key", "left")
     speaks = F.col("licence").isNotNull() & (F.col("header") | F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE))
@@ -107,7 +109,7 @@ def license_scan(files: DataFrame, templates: dict[str, str] | None = None, thre
     nearest = lookups.join(spoken, "above").groupBy("directory").agg(F.min(F.struct("up", "above", "given")).alias("n"))
     nearest = nearest.select("directory", F.col("n.above").alias("above"), F.col("n.given").alias("given"))
     out = named.join(nearest, "directory", "left")
-    return out.select(*[c for c in base.columns if c != "directory"], F.col("licence").alias("own_licence"), F.col("similarity").alias("own_similarity"), F.coalesce("licence", "given").alias("licence"), F.when(F.col("licence").isNull(), F.col("above")).alias("inherited_from"))
+    return out.select("key", "path", *[F.col("__rest")[c].alias(c) for c in rest], F.col("licence").alias("own_licence"), F.col("similarity").alias("own_similarity"), F.coalesce("licence", "given").alias("licence"), F.when(F.col("licence").isNull(), F.col("above")).alias("inherited_from"))
 
 
 def document_path() -> Column:

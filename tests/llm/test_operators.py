@@ -503,6 +503,6 @@ def test_all_null_and_clashing_columns(spark, name):
     """Rows of nulls, and columns named as the operators name theirs."""
     rows = [(None, None, None, None, None)] * 3 + [(1, "a b c d e f", "en", "a", 1)]
     d = frame(spark, rows)
-    for c in ("block", "shard", "n", "m", "kept", "size", "rank", "value", "component", "hash", "grp", "key2"):
+    for c in ("block", "shard", "n", "m", "kept", "size", "rank", "value", "component", "hash", "grp", "licence", "above", "directory", "copies", "doc", "__n"):
         d = d.withColumn(c, F.lit(7))
     assert RUNS[name](d).count() == 4
