@@ -14,7 +14,7 @@ shards, so raise both sizes with the square root of the input.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .textkit import U
 
+#: The column of a row's block.
+BLOCK = "__block"
 MESSAGE = "block int, shard int, body binary"
 #: Rows with this flag in `shard` go through a shard unread and return to their block.
 STATE = 1 << 30
@@ -40,10 +42,20 @@ def table_bytes(df: DataFrame) -> int:
 
 
 def blocked(docs: DataFrame, columns: list[str], block_bytes: int = 3 << 19, least: int = 64) -> tuple[DataFrame, int]:
-    """docs with `block` from doc_id and text, and how many blocks there are."""
+    """docs with `block` from doc_id and text, and how many blocks there are; each text is compressed for the shuffle."""
     n = max(least, math.ceil(table_bytes(docs) / block_bytes))
-    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *columns)
-    return named.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("__block")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            texts = [None if t is None else z.compress(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(texts, pa.binary()), *b.columns[3:]], names=[BLOCK, "doc_id", "text", *columns])
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([f"{BLOCK} int, doc_id long, text binary", *(f"`{c}` {kinds[c]}" for c in columns)])
+    return named.select(block, "doc_id", "text", *columns).mapInArrow(shrink, schema), n
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -113,7 +125,7 @@ class Exchange:
         def addressed(table: pa.Table, back: pa.Table | None) -> pa.Table:
             if not table.num_rows:
                 return _send(0, [])
-            block = table["block"][0].as_py()
+            block = table[BLOCK][0].as_py()
             table = in_order(table)
             answers, state = received(back)
             return _send(block, [((block % shards) | STATE if s is None else s, b) for s, b in ask(table, answers, state)])
@@ -126,9 +138,9 @@ class Exchange:
             return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "shard": pa.array([shard] * len(out), pa.int32()), "body": pa.array([b for _, b in out], pa.binary())})
 
         if self.answers is None:
-            sent = self.blocks.groupBy("block").applyInArrow(lambda table: addressed(table, None), MESSAGE)
+            sent = self.blocks.groupBy(BLOCK).applyInArrow(lambda table: addressed(table, None), MESSAGE)
         else:
-            sent = self.blocks.groupBy("block").cogroup(self.answers.groupBy("block")).applyInArrow(addressed, MESSAGE)
+            sent = self.blocks.groupBy(BLOCK).cogroup(self.answers.groupBy("block")).applyInArrow(addressed, MESSAGE)
         self.answers = sent.groupBy("shard").applyInArrow(reduced, MESSAGE)
 
     def finish(self, last: Callable, schema: str) -> DataFrame:
@@ -138,12 +150,15 @@ class Exchange:
             answers, state = received(back)
             return last(in_order(table), answers, state)
 
-        return self.blocks.groupBy("block").cogroup(self.answers.groupBy("block")).applyInArrow(ended, schema)
+        return self.blocks.groupBy(BLOCK).cogroup(self.answers.groupBy("block")).applyInArrow(ended, schema)
 
 
 def in_order(table: pa.Table) -> pa.Table:
-    """A block's rows in the same order in each round, whatever order they arrived in."""
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    """A block's rows in the same order in each round, whatever order they arrived in, their texts as bytes again."""
+    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    z = zstandard.ZstdDecompressor()
+    texts = [None if t is None else z.decompress(t) for t in table["text"].to_pylist()]
+    return table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()))
 
 
 def received(back: pa.Table | None) -> tuple[Messages, bytes | None]:

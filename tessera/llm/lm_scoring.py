@@ -52,7 +52,7 @@ def block_grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarr
     return grams, count, place
 
 
-def lm_scoring(docs: DataFrame, order: int = 3, least: int = 2, backoff: float = 0.4, block_bytes: int = 3 << 19, shard_bytes: int = 4 << 20) -> DataFrame:
+def lm_scoring(docs: DataFrame, order: int = 3, least: int = 2, backoff: float = 0.4, block_bytes: int = 2 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, log_score (natural) and mean_log_score for each row of docs (doc_id, text)."""
     blocks, _ = blocked(docs, [], block_bytes)
     exchange = Exchange(blocks, max(64, math.ceil(table_bytes(docs) / shard_bytes)))
@@ -76,9 +76,12 @@ def lm_scoring(docs: DataFrame, order: int = 3, least: int = 2, backoff: float =
             yield block, squeeze(narrow(summed[at : at + len(k)]))
             at += len(k)
 
-    def told(answers, keys):
-        """The sums for the keys that were asked for; their order is made again, as it would be long to keep."""
-        sums_ = np.concatenate([expand(answers[s])[0].astype(np.int64) for s in sorted(answers)] or [np.empty(0, np.int64)])
+    def told(answers):
+        """The sums for the different keys that were asked for, in their order."""
+        return np.concatenate([expand(answers[s])[0].astype(np.int64) for s in sorted(answers)] or [np.empty(0, np.int64)])
+
+    def each(sums_, keys):
+        """Of all keys; their places are worked out again, as they would be long to keep."""
         return sums_[np.unique(keys, return_inverse=True)[1]] if len(keys) else sums_
 
     def ask_short(table, answers, state):
@@ -91,30 +94,29 @@ def lm_scoring(docs: DataFrame, order: int = 3, least: int = 2, backoff: float =
         def go(table, answers, state):
             grams, _, place = block_grams(table, n)
             known = counts(state, answers, grams, place, n - 1)
-            often = known[n - 2] >= least
-            asked = np.flatnonzero((place >= n - 1) & often & np.concatenate([[False], often[:-1]]))
+            asked = wanted(place, known, n)
             yield from ask(grams[n - 1][asked])
-            yield None, squeeze(*[narrow(k) for k in known], asked_bits(asked, len(place)))
+            before = expand(state) if state else []
+            yield None, squeeze(*before, narrow(told(answers)))
 
         return go
 
-    def asked_bits(asked, n):
-        bits = np.zeros(n, bool)
-        bits[asked] = True
-        return np.packbits(bits)
+    def wanted(place, known, n):
+        """Words whose n-gram is asked for: both its parts occur often enough."""
+        often = known[n - 2] >= least
+        return np.flatnonzero((place >= n - 1) & often & np.concatenate([[False], often[:-1]]))
 
     def counts(state, answers, grams, place, n):
-        """Counts of the 1- .. n-grams that end at each word, 0 where not asked for."""
-        if n <= 2:
-            c = told(answers, short(grams, place))
-            uni = c[: len(place)]
-            bi = np.zeros(len(place), np.int64)
-            bi[place >= 1] = c[len(place) :]
-            return [uni, bi][: max(1, min(order, 2))]
-        parts, last = expand(state), np.zeros(len(place), np.int64)
-        asked = np.flatnonzero(np.unpackbits(parts[-1], count=len(place)))
-        last[asked] = told(answers, grams[n - 1][asked])
-        return [p.astype(np.int64) for p in parts[:-1]] + [last]
+        """Counts of the 1- .. n-grams that end at each word, 0 where not asked for.  The state holds the answers of earlier rounds."""
+        got = [x.astype(np.int64) for x in (expand(state) if state else [])] + [told(answers)]
+        c = each(got[0], short(grams, place))
+        known = [c[: len(place)], np.zeros(len(place), np.int64)]
+        known[1][place >= 1] = c[len(place) :]
+        for k in range(3, n + 1):
+            asked = wanted(place, known, k)
+            known.append(np.zeros(len(place), np.int64))
+            known[-1][asked] = each(got[k - 2], grams[k - 1][asked])
+        return known[: max(n, 1)]
 
     def score(table, answers, state):
         grams, n_words, place = block_grams(table, order)
