@@ -151,9 +151,11 @@ def extract(tiles: DataFrame, level: Level, grid: OutputGrid, method: str = "nea
             straight = F.when(F.col("w_all") > 0, F.col("wv") / F.col("w_all")).otherwise(fill)
             partial = F.when(F.col("b_ok") >= 1e-5, F.col("bv") / F.col("b_ok")).otherwise(fill)
             value = F.when(whole, straight).when(F.col("any_near"), partial).otherwise(nearest)
-    found = sums.select("oy", "ox", "ordinal", "band", value.alias("value"))
-    want = out.select("oy", "ox", F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(b).alias("band")) for i, b in enumerate(chosen)])))
-    return want.join(found, ["oy", "ox", "ordinal", "band"], "left").select("oy", "ox", "ordinal", "band", F.nullif(F.coalesce("value", fill), F.lit(float("nan"))).alias("value"))
+    found = sums.select("oy", "ox", "ordinal", "band", F.nullif(value, F.lit(float("nan"))).alias("value"))
+    # every pixel inside the level has a tap; those outside need no join
+    outside = out.where(~(within(F.col("c"), level.width) & within(F.col("r"), level.height)) | F.col("c").isNull() | F.col("r").isNull())
+    rest = outside.select("oy", "ox", F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(b).alias("band")) for i, b in enumerate(chosen)])), fill.alias("value"))
+    return found.unionByName(rest)
 
 
 def needed_tiles(spark: SparkSession, level: Level, grid: OutputGrid, method: str) -> DataFrame:
