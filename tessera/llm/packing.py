@@ -43,7 +43,7 @@ def word_codes(path: str) -> "WordCodes":
 class WordCodes:
     """Ids of the words met so far, by word hash; it starts anew when it holds `most` words."""
 
-    def __init__(self, tok, most: int = 1_000_000):
+    def __init__(self, tok, most: int = 600_000):
         self.tok, self.most = tok, most
         self.mark = tok.encode("|", add_special_tokens=False).ids
         self.clear()
