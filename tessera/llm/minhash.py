@@ -64,14 +64,15 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(shingle_sets(b.column(len(columns)), words))
-            n = pa.array([len(x) for x in sets], pa.int64())
-            with np.errstate(over="ignore"):
-                f1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-                f2 = np.array([np.bitwise_xor.reduce(mix(x + U(0x632BE59BD9B4E019))) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-            flat = [x[:k].view(np.int64) for x in sets]
+            n, f1, f2, flat = [], [], [], []
+            for x in shingle_sets(b.column(len(columns)), words):
+                n.append(len(x))
+                f1.append(int(x.sum(dtype=np.uint64)))
+                f2.append(int(np.bitwise_xor.reduce(mix(x + U(0x632BE59BD9B4E019)))) if len(x) else 0)
+                flat.append(x[:k].view(np.int64).copy())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in flat])]), pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], n, pa.array(f1), pa.array(f2), lists], names=[*columns, "n", "f1", "f2", "sketch"])
+            prints = [pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f1, f2)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(n, pa.int64()), *prints, lists], names=[*columns, "n", "f1", "f2", "sketch"])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "n long, f1 long, f2 long, sketch array<long>"])
