@@ -521,7 +521,7 @@ def minmax_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 # catalogs
 
 
-@query("SELECT count(*) AS files, sum(p_size)::BIGINT AS total_size, sum(p_size) / 1048576.0::DOUBLE AS total_size_mb, count_if(p_size % 2 = 0) AS tiled, count_if(p_size > 25) AS with_overviews FROM part")
+@query("SELECT count(*) AS files, sum(p_size)::BIGINT AS total_size, sum(p_size) / 1048576.0::DOUBLE AS total_size_mb, count_if(p_size % 2 = 0)::BIGINT AS tiled, count_if(p_size > 25)::BIGINT AS with_overviews FROM part")
 def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), (F.col("p_size") % 2 == 0).alias("is_tiled"), (F.col("p_size") > 25).alias("has_overviews"))
     return catalog.stats(p)
