@@ -65,6 +65,11 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return (start + ((m - start) & low)).astype(np.int64)
 
 
+def dealt(anchors: np.ndarray) -> np.ndarray:
+    """Anchors are least hashes and so low ones; this spreads them evenly over the shards."""
+    return mix(anchors + U(0x2545F4914F6CDD1D))
+
+
 def block_anchors(table: pa.Table, size: int, gram: int) -> tuple[np.ndarray, ...]:
     """(place of each anchor among the block's bytes, its hash, its first window, its number of windows, its row), in order."""
     base, out = 0, [(np.empty(0, np.int64), np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)]
@@ -77,7 +82,7 @@ def block_anchors(table: pa.Table, size: int, gram: int) -> tuple[np.ndarray, ..
             at, doc = least[own], doc[own]
             change = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])) if len(own) else np.empty(0, np.int64)
             n = np.diff(np.append(change, len(own)))
-            out.append((at[change] + base, h[at[change]], own[change] + base, n, doc[change].astype(np.int64) + c.first))
+            out.append((at[change] + base, dealt(h[at[change]]), own[change] + base, n, doc[change].astype(np.int64) + c.first))
         base += len(c.data)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -251,6 +256,7 @@ def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10
         low, n = at - below, n.astype(np.int64)
         data = block_bytes_of(table)
         hashes, text = span_hashes(table, at, (at, at + gram), (low, low + n + size - 1))
+        hashes = dealt(hashes)
         keys, inverse = keys_of(hashes)
         found = np.zeros(len(keys), bool)
         for shard, i, j in shard_runs(keys << KEY_SHIFT, shards):
