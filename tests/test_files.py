@@ -50,6 +50,9 @@ RGB = {
     (4, 4, 6, "bilinear"): (0, "ec8320d184c03438"),
     (4, 4, 6, "bicubic"): (0, "a19f6add4fd92119"),
     (4, 4, 6, "cubic"): (0, "bfec633c476688cc"),
+    (5, 8, 12, "bilinear"): (0, "c260253cb6ae4ea2"),
+    (6, 17, 25, "cubic"): (0, "1236a47ba40b12f0"),
+    (7, 35, 51, "bilinear"): (0, "611f4a6b44690cfd"),
 }
 DEM = {
     (5, 15, 11, "nearest"): (2, "af4211093f6efac8"),
