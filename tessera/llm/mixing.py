@@ -108,6 +108,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
     order = F.xxhash64(F.lit(seed), "__key", "size")
     sized = docs.select(F.struct(*keep).alias("__row"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), (F.col("doc_id") if "doc_id" in docs.columns else F.xxhash64("text")).alias("__key"))
     dealt = sized.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "__key", "size"), F.lit(blocks)).cast("int"))
+    if "text" not in keep:
+        dealt = cut(dealt)  # narrow rows: cheaper to keep than to read and count the texts again
     by_block = cut(dealt.groupBy("source", "block").agg(F.sum("size").alias("block_size"), F.count("*").alias("docs")))
     targets = source_targets(by_block.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, share, most)
     # a power of two of blocks a source, of about 64 documents or more: small sources still have choice in the block that is cut
