@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U
+from .textkit import U, release
 
 #: The column of a row's block.
 BLOCK = "__block"
@@ -52,6 +52,7 @@ def blocked(docs: DataFrame, columns: list[str], block_bytes: int = 3 << 19, lea
         for b in batches:
             texts = [None if t is None else z.compress(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(texts, pa.binary()), *b.columns[3:]], names=[BLOCK, "doc_id", "text", *columns])
+        release()
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"{BLOCK} int, doc_id long, text binary", *(f"`{c}` {kinds[c]}" for c in columns)])
@@ -128,13 +129,16 @@ class Exchange:
             block = table[BLOCK][0].as_py()
             table = in_order(table)
             answers, state = received(back)
-            return _send(block, [((block % shards) | STATE if s is None else s, b) for s, b in ask(table, answers, state)])
+            sent = _send(block, [((block % shards) | STATE if s is None else s, b) for s, b in ask(table, answers, state)])
+            release()
+            return sent
 
         def reduced(key: tuple, table: pa.Table) -> pa.Table:
             shard, blocks, bodies = key[0].as_py(), _column(table, "block"), _column(table, "body")
             if shard & STATE:
                 return table.select(["block", "shard", "body"])
             out = list(reduce(list(zip(blocks, bodies, strict=True))))
+            release()
             return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "shard": pa.array([shard] * len(out), pa.int32()), "body": pa.array([b for _, b in out], pa.binary())})
 
         if self.answers is None:
@@ -148,7 +152,9 @@ class Exchange:
 
         def ended(table: pa.Table, back: pa.Table) -> pa.Table:
             answers, state = received(back)
-            return last(in_order(table), answers, state)
+            out = last(in_order(table), answers, state)
+            release()
+            return out
 
         return self.blocks.groupBy(BLOCK).cogroup(self.answers.groupBy("block")).applyInArrow(ended, schema)
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected
 from .session import cut
-from .textkit import BYTE_BASE, BYTE_VALUE, U, WORD_BASE, chunks, mix, prefix_sums, span_hash
+from .textkit import BYTE_BASE, BYTE_VALUE, U, WORD_BASE, chunks, mix, prefix_sums, release, span_hash
 
 EMPTY = np.empty(0, np.uint64)
 
@@ -73,6 +73,7 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in flat])]), pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
             prints = [pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f1, f2)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(n, pa.int64()), *prints, lists], names=[*columns, "n", "f1", "f2", "sketch"])
+        release()
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "n long, f1 long, f2 long, sketch array<long>"])
@@ -173,6 +174,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
         for b in batches:
             sets = [x.tobytes() for x in shingle_sets(b.column(4), words)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.binary())], names=["doc_id", "component", "parts", "part", "shingles"])
+        release()
 
     members = docs.join(placed, docs["doc_id"] == placed["node"]).select("doc_id", "component", "parts", "part", "text")
     members = members.mapInArrow(to_sets, "doc_id long, component long, parts int, part int, shingles binary")
@@ -184,6 +186,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
         ids = table["doc_id"].to_pylist()
         unique: dict[tuple, None] = dict.fromkeys(zip(ids, table["shingles"].to_pylist(), strict=True))
         links = linked([i for i, _ in unique], [np.frombuffer(s, np.uint64) for _, s in unique], k, percent)
+        if len(unique) > 500:
+            release()
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     links = paired.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import chunks
+from .textkit import chunks, release
 
 _loaded: dict[object, object] = {}
 
@@ -164,6 +164,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: i
                 rows = []
         if rows:
             yield batch(rows)
+        release()
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64()] * 5 + [pa.binary()]

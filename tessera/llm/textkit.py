@@ -8,6 +8,8 @@ those bytes inside a longer character, so bytes and code points agree.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,21 +42,33 @@ def mix(h: np.ndarray) -> np.ndarray:
 BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * U(0xA0761D6478BD642F))
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the system: workers are kept between tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Powers:
-    """base**i and base**-i modulo 2**64, grown when more are needed."""
+    """base**i and base**-i modulo 2**64; the first `KEPT` stay in the process."""
+
+    KEPT = 1 << 20
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                x = np.full(n, U(b))
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up[:n], self.down[:n]
+        if len(self.up) >= n:
+            return self.up[:n], self.down[:n]
+        made = []
+        for b in (self.base, self.inverse):
+            x = np.full(max(n, 1 << 16), U(b))
+            x[0] = 1
+            made.append(np.multiply.accumulate(x))
+        if len(made[0]) <= self.KEPT:
+            self.up, self.down = made
+        return made[0][:n], made[1][:n]
 
 
 _powers = {b: Powers(b) for b in (BYTE_BASE, WORD_BASE)}
