@@ -9,7 +9,9 @@ query's k-th score so far go, coarse statistics first, finer ones for what is
 left, exact integer products for the survivors.
 
 Queries and candidates meet in a grid of blocks, each of bounded size; a block's
-k best of each query go on, so no group of equal vectors meets in one task.
+k best ids of each query go on, so no group of equal vectors meets in one task.
+Repeated rows meet before they are dealt, and an id with several vectors holds
+one of the k places, by its best.
 
 Vectors that are null or hold null or non-finite components, and rows without an
 id, take no part.  Only vectors of equal length are compared.  Rows with one id
@@ -53,8 +55,15 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
+def one_each(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids with the best score of each."""
+    order = np.lexsort((scores, ids))
+    last = order[np.append(ids[order][1:] != ids[order][:-1], True)] if len(order) else order
+    return scores[last], ids[last]
+
+
 def search_block(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.ndarray, np.ndarray], k: int, tile: int = 2048) -> list[tuple[int, int, int]]:
-    """(query id, candidate id, score): each query's k best candidates of the block."""
+    """(query id, candidate id, score): each query's k best ids of the block."""
     qid, q = queries
     cid, c = candidates
     if not len(qid) or not len(cid) or not q.shape[1]:
@@ -63,6 +72,7 @@ def search_block(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.nd
     qf, cf = q.astype(np.float64), c.astype(np.float64)
     qn, cn = (qf * qf).sum(axis=1), (cf * cf).sum(axis=1)
     slack = 1e-9 * (1 + qn[:, None].max(initial=0) + cn.max(initial=0))
+    several = len(np.unique(cid)) < len(cid)
     stats = [(statistics(qf, s), statistics(cf, s)) for s in RESOLUTIONS]
     held = [(np.empty(0, object if not exact else np.int64), np.empty(0, np.int64)) for _ in qid]
     floor = np.full(len(qid), -np.inf)
@@ -87,6 +97,8 @@ def search_block(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.nd
         for i, row in enumerate(rows):
             on = np.flatnonzero(alive[row][cols])
             s, n = np.concatenate([held[row][0], scores[i][on]]), np.concatenate([held[row][1], cid[part][cols][on]])
+            if several:
+                s, n = one_each(s, n)
             top = best(s, n, k) if exact else np.lexsort((n, np.array([-x for x in s], object)))[:k]
             held[row] = s[top], n[top]
             if len(top) == k:
@@ -108,6 +120,7 @@ def arrays(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = 4096, candidate_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id and score: the k highest inner products of each of queries (id, v) with vectors (id, v)."""
     n_q, n_c = max(1, math.ceil(queries.count() / query_rows)), max(8, math.ceil(vectors.count() / candidate_rows))
+    queries, vectors = queries.select("id", "v").distinct(), vectors.select("id", "v").distinct()
     place = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     cell = lambda own, other, n: (own, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(other))
     q = queries.select("id", "v", *cell(place(n_q).alias("qb"), "cb", n_c))

@@ -398,6 +398,32 @@ def test_topk(spark, queries, candidates):
     assert [tuple(r) for r in got] == want
 
 
+@pytest.mark.parametrize("candidates", [8192, 17])
+def test_topk_of_an_id_repeated_among_the_best(spark, candidates):
+    """One id with its row nine times, one with nine vectors: neither takes more than one place."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(-20, 20, (200, 12))
+    near = [(301, v[0] * 2)] * 9 + [(302, v[0] * 2 + rng.integers(0, 3, 12)) for _ in range(9)] + [(310 + i, v[0] + rng.integers(-9, 10, 12)) for i in range(40)]
+    rows = [*enumerate(v), *near]
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in rows], "id long, v array<long>").repartition(3)
+    got = topk_search.topk_search(df, df.where("id % 2 = 0"), 5, 4096, candidates).orderBy("query_id", "rank").collect()
+    want = []
+    for q in sorted({i for i, _ in rows if i % 2 == 0}):
+        score = {}
+        for i, x in rows:
+            score[i] = max(score.get(i, -(10**9)), *(int(x @ y) for j, y in rows if j == q))
+        order = sorted((i for i in score if i != q), key=lambda i: (-score[i], i))[:5]
+        want += [(q, k + 1, i, score[i]) for k, i in enumerate(order)]
+    assert [tuple(r) for r in got] == want
+
+
+def test_topk_block_of_large_numbers():
+    """Scores above 2 ** 53, where an id has several vectors."""
+    c = np.array([[3 << 30], [2 << 30], [1 << 30], [5]])
+    found = topk_search.search_block((np.array([9]), np.array([[1 << 30]])), (np.array([1, 1, 2, 3]), c), 2)
+    assert found == [(9, 1, 3 << 60), (9, 2, 1 << 60)]
+
+
 def test_bounds_are_above_the_scores():
     rng = np.random.default_rng(2)
     q, c = rng.integers(-300, 300, (20, 64)).astype(float), rng.integers(-300, 300, (200, 64)).astype(float)
