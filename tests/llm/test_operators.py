@@ -147,6 +147,31 @@ def test_classifier(spark):
     assert none.where("kept").count() == 400 + 5 + 3
 
 
+def test_thresholds_of_all_trusted_documents(spark):
+    """A language with few documents in the sample for the counts is judged by all of its own: prose of another language does not pass for it."""
+    rng = random.Random(5)
+    text = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(60))
+    en, es = ["ba", "ne", "ti", "lo"], ["zu", "ky", "wo", "xe", "vi", "ja"]
+    rows = [(i, text(en), "en", "a", 1) for i in range(1000)] + [(2000 + i, text(es), "es", "a", 1) for i in range(200)] + [(3000 + i, text(en), "es", "a", 1) for i in range(20)]
+    docs = frame(spark, rows)
+    got = kneser_ney.quality_classifier(docs, docs.where("doc_id < 2150").select("doc_id"), sample_docs=200).collect()
+    assert len(got) == len(rows)
+    assert sum(r.kept for r in got if 2150 <= r.doc_id < 3000) >= 48
+    assert not any(r.kept for r in got if r.doc_id >= 3000)
+
+
+def test_quantiles(spark):
+    rng = random.Random(6)
+    values = {"en": [rng.gauss(0, 1) for _ in range(301)], "fr": [rng.choice([-2.5, 1.0, 1.001]) for _ in range(64)], "xx": [3.25], None: [rng.random() / 50 for _ in range(100)]}
+    df = spark.createDataFrame([(g, x) for g, xs in values.items() for x in xs], "lang string, x double")
+    fractions = [0.005, 0.5, 0.995]
+    for bins in (1, 100):
+        got = {r.lang: (r.docs, r.q) for r in kneser_ney.quantiles(df, fractions, bins).collect()}
+        assert set(got) == set(values)
+        for g, xs in values.items():
+            assert got[g][0] == len(xs) and np.allclose(got[g][1], np.quantile(xs, fractions), rtol=0, atol=1e-12)
+
+
 # packing
 
 
