@@ -261,6 +261,15 @@ def test_near_duplicates(spark, parts):
     assert by_row(got) == brute_near(rows, 4)
 
 
+@pytest.mark.parametrize("shared", [32, 35])
+def test_links_whose_sketches_share_half(shared):
+    """Jaccard above 0.8, though only `shared` of the union's 64 least values are in both sets."""
+    both = list(range(shared)) + list(range(1000, 2000))
+    own = [list(range(100, 100 + (64 - shared) // 2)), list(range(200, 200 + (65 - shared) // 2))]
+    sets = [np.array(sorted(both + x), np.uint64) for x in own]
+    assert minhash.linked([4, 9], sets, 64, 80) == [(4, 9)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (200, 200), (101, 100), (300, 299)] + [(400, 401 + i) for i in range(60)]
     got = dict(graph.connected(spark.createDataFrame(edges, "a long, b long")).collect())
