@@ -14,7 +14,7 @@ from tessera.llm.kneser_ney import quality_classifier, trusted_ids
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mixed
 from tessera.llm.packing import pack, vocabulary
-from tessera.llm.session import stored
+from tessera.llm.session import cut, stored
 from tessera.llm.suffix_dedup import suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,10 +27,16 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates; rows without an id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    named = docs.select(*COLUMNS).where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """The document with the least id of each group of near duplicates; rows without an id stay.
+
+    An id with different texts is as many documents: they go by a hash of id and text.
+    """
+    node = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("node")
+    found = near_duplicates(docs.select(node.alias("doc_id"), F.col("doc_id").alias("own"), "text"), columns=["own"])
+    found = cut(found.where(F.col("doc_id").isNotNull()).select("own", F.col("doc_id").alias("node"), "component_id").distinct())
+    least = found.groupBy("component_id").agg(F.min(F.struct("own", "node")).alias("least"), F.count("*").alias("docs")).where("docs > 1").drop("docs")
+    gone = found.join(least, "component_id").where(F.struct("own", "node") != F.col("least")).select(F.col("own").alias("doc_id"), "node")
+    named = docs.select(*COLUMNS, node).where(F.col("doc_id").isNotNull()).join(gone, ["doc_id", "node"], "left_anti").dropDuplicates(["doc_id", "node"])
     return named.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
 
 

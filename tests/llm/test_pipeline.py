@@ -95,6 +95,20 @@ def test_stages(spark, tables, tmp_path):
     assert packed == lengths
 
 
+def test_one_id_with_different_texts(spark):
+    rng = random.Random(2)
+    prose = lambda: [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    a, b, c, d = prose(), prose(), prose(), prose()
+    near = lambda t: " ".join(t[:40] + ["other"] + t[41:])
+    a, b, c, d, *like = *(" ".join(t) for t in (a, b, c, d)), near(a), near(d)
+    rows = [(1, a), (5, like[0]), (5, b), (5, b), (7, c), (7, b), (9, d), (9, like[1]), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
+    # of two near copies with one id either may stay
+    assert sum(got.pop((9, t), 0) for t in (d, like[1])) == 1
+    assert got == Counter([(1, a), (5, b), (7, c), (None, a), (None, a)])
+
+
 def test_run(spark, tables):
     out = corpus_pipeline.run(spark, tables[0])
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns)
