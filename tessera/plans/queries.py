@@ -75,7 +75,10 @@ CATMULL = "CASE WHEN abs({x}) <= 1 THEN abs({x})**2*(1.5*abs({x}) - 2.5) + 1 WHE
 
 
 def extract_sql(method: str, grid: tuple, nodata: float | None = None, steps: int | None = None, tile_height: int = 8, bands: tuple[int, ...] = (0,), n_bands: int = 1, digits: int = 6, positions: tuple[int, str, str] | None = None) -> str:
-    """The rules of extraction, written out for DuckDB.  positions: output height, and source row and column in SQL, in place of the grid's own."""
+    """The rules of extraction, written out for DuckDB.  positions: output height, and source row and column in SQL, in place of the grid's own.
+
+    The samples are unnested once to (py, px, band, v); taps and weights depend on one axis each, so sums go along x first and then along y.
+    """
     width, c0, dc, r0, dr = grid
     d = lambda x: f"CAST({x!r} AS DOUBLE)"
     own = {"nearest": TENT, "bilinear": TENT, "bicubic": MITCHELL, "cubic": CATMULL}[method]
@@ -85,9 +88,8 @@ def extract_sql(method: str, grid: tuple, nodata: float | None = None, steps: in
         scales = s if min(s) < 0.95 else None
     sx, sy = scales or (1.0, 1.0)
     support = 1 if method in ("nearest", "bilinear") else 2
-    nx, ny = math.ceil(support / sx - 1e-9), math.ceil(support / sy - 1e-9)
     fill = "NULL" if nodata is None else d(nodata)
-    value = f"floor(e.embedding[k0]::DOUBLE * {steps} + 0.5) / {steps}" if steps else "e.embedding[k0]::DOUBLE"
+    value = f"floor(s::DOUBLE * {steps} + 0.5) / {steps}" if steps else "s::DOUBLE"
     ok = "v IS NOT NULL AND NOT isnan(v)" + (f" AND v <> {d(nodata)}" if nodata is not None else "")
     picks = ", ".join(f"({i}, {b})" for i, b in enumerate(bands))
     near = f"CASE WHEN NOT isnan(coalesce(near, 0)) THEN coalesce(near, {fill}) END"
@@ -98,39 +100,39 @@ def extract_sql(method: str, grid: tuple, nodata: float | None = None, steps: in
     else:
         final = f"CASE WHEN n_ok = {4 * support * support} THEN wv / w_all WHEN any_near THEN CASE WHEN b_ok >= 1e-5 THEN bv / b_ok ELSE {fill} END ELSE {near} END"
     rows, r_sql, c_sql = positions or (f"CAST(floor(hh / {d(dr)}) AS BIGINT)", f"{d(r0)} + oy * {d(dr)}", f"{d(c0)} + ox * {d(dc)}")
+
+    def taps(axis: str, at: str, top: str, scale: float) -> str:
+        n = math.ceil(support / scale - 1e-9)
+        return f"""
+  SELECT o{axis}, least(greatest(t, 0), {top}) AS p{axis}, (t BETWEEN 0 AND {top})::INTEGER AS i{axis}, {own.format(x=f"(({at} - t) * {d(scale)})")} AS w{axis}, {TENT.format(x=f"({at} - t)")} AS l{axis}
+  FROM (SELECT *, unnest(range(CAST(floor({at}) AS BIGINT) + 1 - {n}, CAST(floor({at}) AS BIGINT) + 1 + {n})) AS t FROM {axis}s WHERE in{axis}) {f"WHERE t BETWEEN 0 AND {top}" if scales else ""}"""
+
+    inside = "ix" if method == "cubic" else "1"
     return f"""
 WITH g AS (SELECT {tile_height} * CAST(ceil(count(*) / 25.0) AS BIGINT) AS hh FROM embeddings),
-o AS (
-  SELECT oy, ox, hh, {r_sql} AS r, {c_sql} AS c
-  FROM (SELECT hh, unnest(range({rows})) AS oy FROM g) CROSS JOIN range({width}) t(ox)
-), x AS (
-  SELECT *, unnest(range(CAST(floor(c) AS BIGINT) + 1 - {nx}, CAST(floor(c) AS BIGINT) + 1 + {nx})) AS tx
-  FROM o WHERE c >= -0.5 AND c <= 199.5 AND r >= -0.5 AND r <= hh - 0.5
-), y AS (
-  SELECT *, unnest(range(CAST(floor(r) AS BIGINT) + 1 - {ny}, CAST(floor(r) AS BIGINT) + 1 + {ny})) AS ty FROM x
-), k AS (
-  SELECT oy, ox, least(greatest(tx, 0), 199) AS px, least(greatest(ty, 0), hh - 1) AS py,
-         tx BETWEEN 0 AND 199 AND ty BETWEEN 0 AND hh - 1 AS inside,
-         ({own.format(x=f"((c - tx) * {d(sx)})")}) * ({own.format(x=f"((r - ty) * {d(sy)})")}) AS w,
-         {TENT.format(x="(c - tx)")} * {TENT.format(x="(r - ty)")} AS b,
-         least(greatest(CAST(round(c) AS BIGINT), 0), 199) AS nx, least(greatest(CAST(round(r) AS BIGINT), 0), hh - 1) AS ny
-  FROM y
-), p(ordinal, band) AS (VALUES {picks}),
-j AS (
-  SELECT k.*, ordinal, band, ((py % {tile_height}) * 8 + px % 8) * {n_bands} + band + 1 AS k0 FROM k, p {"WHERE inside" if scales else ""}
-), s AS (
-  SELECT j.*, CASE WHEN e.label <> 0 THEN {value} WHEN e.label = 0 THEN 'nan'::DOUBLE END AS v, px = nx AND py = ny AS centre
-  FROM j LEFT JOIN embeddings e ON e.vec_id = (py // {tile_height}) * 25 + px // 8
-), a AS (
-  SELECT oy, ox, ordinal, band, count_if({ok}{" AND inside" if method == "cubic" else ""}) AS n_ok, sum(w) AS w_all,
-         sum(CASE WHEN {ok} THEN w END) AS w_ok, sum(CASE WHEN {ok} THEN w * v END) AS wv,
-         sum(CASE WHEN {ok} THEN b END) AS b_ok, sum(CASE WHEN {ok} THEN b * v END) AS bv,
-         max(CASE WHEN centre THEN v END) AS near, bool_or(centre AND {ok}) AS near_ok
-  FROM s GROUP BY ALL
-), n AS (SELECT *, bool_or(near_ok) OVER (PARTITION BY oy, ox) AS any_near FROM a)
-SELECT CAST(o.oy AS INTEGER) AS oy, CAST(o.ox AS INTEGER) AS ox, p.ordinal, p.band,
-       round(CASE WHEN n.oy IS NULL THEN {fill} ELSE {final} END, {digits}) + 0.0 AS value
-FROM o CROSS JOIN p LEFT JOIN n ON n.oy = o.oy AND n.ox = o.ox AND n.ordinal = p.ordinal
+e AS MATERIALIZED (
+  SELECT (vec_id // 25) * {tile_height} + (k // {n_bands}) // 8 AS py, (vec_id % 25) * 8 + (k // {n_bands}) % 8 AS px, (k % {n_bands})::INTEGER AS band, CASE WHEN label <> 0 THEN {value} WHEN label = 0 THEN 'nan'::DOUBLE END AS v
+  FROM (SELECT vec_id, label, unnest(embedding) AS s, unnest(range(len(embedding))) AS k FROM embeddings)
+), ys AS MATERIALIZED (
+  SELECT oy, hh, r, r >= -0.5 AND r <= hh - 0.5 AS iny, least(greatest(CAST(round(r) AS BIGINT), 0), hh - 1) AS ny FROM (SELECT oy, hh, {r_sql} AS r FROM (SELECT hh, unnest(range({rows})) AS oy FROM g))
+), xs AS MATERIALIZED (
+  SELECT ox, c, c >= -0.5 AND c <= 199.5 AS inx, least(greatest(CAST(round(c) AS BIGINT), 0), 199) AS nx FROM (SELECT ox, {c_sql} AS c FROM range({width}) t(ox))
+), ty AS MATERIALIZED ({taps("y", "r", "hh - 1", sy)}
+), tx AS MATERIALIZED ({taps("x", "c", "199", sx)}
+), a AS MATERIALIZED (
+  SELECT py, ox, band, sum({inside}) FILTER ({ok}) AS n, sum(wx) FILTER ({ok}) AS w, sum(wx * v) FILTER ({ok}) AS wv, sum(lx) FILTER ({ok}) AS b, sum(lx * v) FILTER ({ok}) AS bv
+  FROM e JOIN tx USING (px) GROUP BY py, ox, band
+), s AS MATERIALIZED (
+  SELECT oy, ox, band, sum(n{" * iy" if method == "cubic" else ""}) AS n_ok, sum(wy * w) AS w_ok, sum(wy * wv) AS wv, sum(ly * b) AS b_ok, sum(ly * bv) AS bv
+  FROM a JOIN ty USING (py) GROUP BY oy, ox, band
+), o AS (
+  SELECT oy, ox, ordinal, ys.iny AND xs.inx AS inside, p.band, ny, nx FROM ys CROSS JOIN xs CROSS JOIN (VALUES {picks}) p(ordinal, band)
+), n AS (
+  SELECT o.*, n_ok, w_ok, wv, b_ok, bv, e.v AS near, wy * wx AS w_all, bool_or({ok}) OVER (PARTITION BY o.oy, o.ox) AS any_near
+  FROM o LEFT JOIN s ON s.oy = o.oy AND s.ox = o.ox AND s.band = o.band LEFT JOIN e ON e.py = ny AND e.px = nx AND e.band = o.band
+  LEFT JOIN (SELECT oy, sum(wy) AS wy FROM ty GROUP BY oy) y ON y.oy = o.oy LEFT JOIN (SELECT ox, sum(wx) AS wx FROM tx GROUP BY ox) x ON x.ox = o.ox
+)
+SELECT CAST(oy AS INTEGER) AS oy, CAST(ox AS INTEGER) AS ox, ordinal, band, round(CASE WHEN NOT inside THEN {fill} ELSE {final} END, {digits}) + 0.0 AS value FROM n
 """
 
 
@@ -479,7 +481,7 @@ HINT = "CASE WHEN event_id % 6 = 5 THEN NULL ELSE event_id % 6 - 2 END"
 @query(f"""
 WITH h AS (SELECT event_id, {HINT} AS v FROM events)
 SELECT event_id, CASE WHEN v IS NULL THEN 'compute_at_runtime' WHEN v = -1 THEN 'all_usable' WHEN v = -2 THEN 'none_usable' ELSE 'min_usable:' || v END AS hint, v::INTEGER AS stored,
-       (CASE WHEN v = -1 THEN 2 WHEN v = -2 THEN NULL ELSE least(v, 2) END)::INTEGER AS usable FROM h
+       (CASE WHEN v IS NULL OR v = -2 THEN NULL WHEN v = -1 THEN 2 ELSE least(v, 2) END)::INTEGER AS usable FROM h
 """)
 def hint_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.when(F.col("event_id") % 6 != 5, F.col("event_id") % 6 - 2).cast("int")
