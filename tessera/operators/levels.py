@@ -36,8 +36,12 @@ def tile_density(tiles: DataFrame) -> DataFrame:
 
 def quality_hint(tiles: DataFrame) -> DataFrame:
     """(level, valid, samples, usable) from the first, middle and last tile of each overview (level >= 1)."""
-    n = F.max("tile_index").over(Window.partitionBy("level")) + 1
-    probe = tiles.where("level >= 1").withColumn("n", n).where(F.col("tile_index").isin(0) | (F.col("tile_index") == F.floor(F.col("n") / 2)) | (F.col("tile_index") == F.col("n") - 1))
+    own = tiles.where("level >= 1")
+    n = F.max("tile_index") + 1
+    # three keys a level: a level's tiles are counted by partial aggregates and never meet in one task
+    asked = own.groupBy("level").agg(F.array_distinct(F.array(F.lit(0).cast("long"), F.floor(n / 2), (n - 1).cast("long"))).alias("t"))
+    asked = F.broadcast(asked.select("level", F.explode("t").alias("tile_index")))
+    probe = own.join(asked, ["level", "tile_index"], "left_semi")
     # a tile that could not be read, or is sparse, counts as no data
     held = F.coalesce("pixels", F.array().cast("array<float>"))
     counted = probe.select("level", F.size(F.filter(held, lambda v: ~F.isnan(v) & (v != 0))).alias("v"), F.size(held).alias("s"))
@@ -61,4 +65,4 @@ def hint_to_db(name: Column) -> Column:
 def usable_from_hint(value: Column, overviews: int) -> Column:
     """Coarsest usable overview that a stored hint gives; null: none."""
     last = F.lit(overviews - 1 if overviews else None).cast("int")
-    return F.when(value == -1, last).when(value == -2, F.lit(None)).otherwise(F.least(value, last))
+    return F.when(value.isNull() | (value == -2), F.lit(None)).when(value == -1, last).otherwise(F.least(value, last))

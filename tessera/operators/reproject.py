@@ -14,7 +14,7 @@ from tessera.functions import crs
 from tessera.functions.geo import Level
 
 from .catalog import auto_resolution, grid_size
-from .kernel import Request, extract_tiles
+from .kernel import REQUEST, Request, extract_tiles
 
 #: Largest raster that is put together in one piece, in samples.
 MOST_SAMPLES = 512_000_000
@@ -57,7 +57,7 @@ def plan(level: Level, source_crs: int, target_crs: int, bounds: tuple[float, fl
     else:
         box = crs.transform_bounds(bounds, bounds_crs, target_crs) if bounds_crs not in (None, target_crs) else bounds
     if size is None:
-        res = resolution or auto_resolution(box, (level.scale_x, level.scale_y), crs.is_geographic(source_crs), crs.is_geographic(target_crs))
+        res = resolution or auto_resolution((level.scale_x, level.scale_y), crs.is_geographic(source_crs), crs.is_geographic(target_crs))
         size = (max(1, math.ceil((box[2] - box[0]) / res[0])), max(1, math.ceil((box[3] - box[1]) / res[1]))) if resolution else grid_size(box, res)
     return Reprojection(target_crs, box, size[0], size[1], method, bands, transform_error)
 
@@ -66,8 +66,11 @@ def request_of(p: Reprojection) -> Request:
     return Request(p.box, p.crs, p.width, p.height, p.method, p.bands, p.transform_error)
 
 
-def reproject(spark: SparkSession, tiles: DataFrame, level: Level, source_crs: int, p: Reprojection) -> DataFrame:
-    """The whole raster as one row."""
+def reproject(spark: SparkSession, tiles: DataFrame, level: Level, source_crs: int, p: Reprojection, most: int = 1 << 24) -> DataFrame:
+    """The whole raster as one row; refused above `most` samples, which one task would hold: use extract_chunks there."""
+    samples = p.width * p.height * (len(p.bands) if p.bands is not None else level.bands)
+    if samples > most:
+        raise ValueError(f"{p.width} x {p.height} is {samples} samples, over {most} for one row; extract_chunks gives it in pieces")
     return extract_tiles(spark, [request_of(p)], tiles, level, source_crs)
 
 
@@ -99,8 +102,17 @@ def chunk_requests(p: Reprojection, chunk: int) -> list[Request]:
 
 
 def extract_chunks(spark: SparkSession, tiles: DataFrame, level: Level, source_crs: int, p: Reprojection, chunk: int) -> DataFrame:
-    """A row for each chunk, in no order; `request` is the chunk's number."""
-    return extract_tiles(spark, chunk_requests(p, chunk), tiles, level, source_crs)
+    """A row for each chunk, in no order; `request` is the chunk's number.  The chunks are a table from the start."""
+    return extract_tiles(spark, chunk_table(spark, p, chunk), tiles, level, source_crs)
+
+
+def chunk_table(spark: SparkSession, p: Reprojection, chunk: int) -> DataFrame:
+    """The chunks as a table of requests."""
+    g = chunk_grid(spark, p, chunk)
+    bands = F.array(*[F.lit(b) for b in p.bands]) if p.bands is not None else F.lit(None)
+    named = {"request": F.col("chunk"), "crs": F.lit(p.crs), "method": F.lit(p.method), "bands": bands, "transform_error": F.lit(float(p.transform_error))}
+    g = g.withColumns(named)
+    return g.select(*[F.col(c).cast(k).alias(c) for c, k in (x.strip().split(" ") for x in REQUEST.split(","))])
 
 
 def for_each_chunk(chunks: DataFrame, p: Reprojection, chunk: int, call: Callable[[tuple[int, int], np.ndarray], None]) -> int:

@@ -53,6 +53,31 @@ def sample_band(points: DataFrame, tiles: DataFrame, level: Level, transform: Ge
     return at.withColumn("value", F.when(F.col("px").isNotNull() & F.lit(0 <= band < level.bands), F.coalesce(value, nan))).drop("pixels", "tile_index")
 
 
+def sample_rasters(points: DataFrame, tiles: DataFrame, rasters: DataFrame, point_crs: int = POINT_CRS) -> DataFrame:
+    """points (raster_id, x, y, ...) with px, py and values (by band): each at its own raster, any number of them in one job.
+
+    rasters: the `rasters` table of the cog source, which gives each raster's geometry as columns; tiles: (raster_id,
+    tile_index, pixels).  Joins are on raster_id and on (raster_id, tile_index).  Rasters in degrees or spherical Mercator.
+    """
+    nan = F.lit(float("nan")).cast("float")
+    g = rasters.select("raster_id", *[F.col(c).alias(f"__{c}") for c in ("width", "height", "tile_width", "tile_height", "bands", "crs", "scale_x", "scale_y", "tie_px", "tie_py", "tie_x", "tie_y", "is_point")])
+    at = points.join(g, "raster_id")
+    mercator = F.coalesce("__crs", F.lit(POINT_CRS)).isin(3857, 900913)
+    there, back = crs.transform_xy(F.col("x"), F.col("y"), point_crs, 3857), crs.transform_xy(F.col("x"), F.col("y"), point_crs, 4326)
+    wx, wy = (F.when(mercator, m).otherwise(d) for m, d in zip(there, back, strict=True))
+    half = F.when(F.col("__is_point"), 0.5).otherwise(0.0)
+    at = at.withColumns({"__fx": F.col("__tie_px") + (wx - F.col("__tie_x")) / F.col("__scale_x") + half, "__fy": F.col("__tie_py") + (F.col("__tie_y") - wy) / F.col("__scale_y") + half})
+    inside = (F.col("__fx") >= 0) & (F.col("__fx") < F.col("__width")) & (F.col("__fy") >= 0) & (F.col("__fy") < F.col("__height"))
+    at = at.withColumns({"px": F.when(inside, F.floor("__fx")), "py": F.when(inside, F.floor("__fy"))})
+    across = F.ceil(F.col("__width") / F.col("__tile_width"))
+    at = at.withColumn("tile_index", (F.floor(F.col("py") / F.col("__tile_height")) * across + F.floor(F.col("px") / F.col("__tile_width"))).cast("long"))
+    joined = at.join(tiles.select("raster_id", "tile_index", "pixels"), ["raster_id", "tile_index"], "left")
+    first = ((F.col("py") % F.col("__tile_height")) * F.col("__tile_width") + F.col("px") % F.col("__tile_width")) * F.col("__bands") + 1
+    bands = F.transform(F.sequence(F.lit(0), F.col("__bands") - 1), lambda b: F.coalesce(F.try_element_at("pixels", (first + b).cast("int")), nan))
+    out = joined.withColumn("values", F.when(F.col("px").isNotNull(), bands))
+    return out.select(*points.columns, "px", "py", "values")
+
+
 def sample_pixels(pixels: DataFrame, tiles: DataFrame, level: Level) -> DataFrame:
     """pixels (band, x, y, ...) with value; null outside the raster and for bands it does not have."""
     inside = F.col("x").between(0, level.width - 1) & F.col("y").between(0, level.height - 1) & F.col("band").between(0, level.bands - 1)

@@ -11,6 +11,7 @@ import datetime
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -306,10 +307,11 @@ SELECT p_partkey, round(res, 6) AS resolution, least(greatest(ceil((maxx - minx)
 """)
 def reproject_auto_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output grids of footprints in degrees, taken to Mercator metres."""
-    p = footprints(spark, sf_dir).withColumn("res", F.greatest((F.col("p_size") + 1) / 1000.0 * 111_000, F.lit(1.0)))
-    w, h = crs.mercator_x(F.col("maxx")) - crs.mercator_x(F.col("minx")), crs.mercator_y(F.col("maxy")) - crs.mercator_y(F.col("miny"))
-    side = lambda v: F.least(F.greatest(F.ceil(v / F.col("res")), F.lit(1)), F.lit(16384)).cast("long")
-    return p.select("p_partkey", F.round("res", 6).alias("resolution"), side(w).alias("width"), side(h).alias("height"))
+    scale = (F.col("p_size") + 1) / 1000.0
+    res = catalog.auto_resolution((scale, scale), True, False)
+    box = tuple(f(F.col(c)) for f, c in ((crs.mercator_x, "minx"), (crs.mercator_y, "miny"), (crs.mercator_x, "maxx"), (crs.mercator_y, "maxy")))
+    width, height = catalog.grid_size(box, res)
+    return footprints(spark, sf_dir).select("p_partkey", F.round(res[0], 6).alias("resolution"), width.alias("width"), height.alias("height"))
 
 
 @query("""
@@ -408,6 +410,30 @@ def sample_batch_crs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(F.col("px").isNotNull()).select("event_id", clean(F.col("value")).alias("value"))
 
 
+def one_of_two(which: int, sql: str) -> str:
+    return sql.replace("FROM s", f"FROM s WHERE event_id % 2 = {which}")
+
+
+@query(
+    "SELECT * FROM ("
+    + one_of_two(0, sample_sql("SELECT event_id, 'tall' AS raster_id, px, py, round(t[k0]::DOUBLE, 6) + 0.0 AS first, NULL::DOUBLE AS second FROM s"))
+    + ") UNION ALL SELECT * FROM ("
+    + one_of_two(1, sample_sql("SELECT event_id, 'flat' AS raster_id, px, py, round(t[k0]::DOUBLE, 6) + 0.0 AS first, round(t[k0 + 1]::DOUBLE, 6) + 0.0 AS second FROM s", 4, 2))
+    + ")"
+)
+def sample_two_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of two rasters of different shape in one job, joined by raster and tile."""
+    rows = []
+    for name, level in (("tall", level_of(spark, sf_dir)), ("flat", level_of(spark, sf_dir, 4, 2))):
+        rows.append((name, level.width, level.height, level.tile_width, level.tile_height, level.bands, None, PLACE.scale_x, PLACE.scale_y, 0.0, 0.0, PLACE.tie_x, PLACE.tie_y, False))
+    rasters = spark.createDataFrame(rows, "raster_id string, width int, height int, tile_width int, tile_height int, bands int, crs int, scale_x double, scale_y double, tie_px double, tie_py double, tie_x double, tie_y double, is_point boolean")
+    tiles = tiles_of(spark, sf_dir).select(F.explode(F.array(F.lit("tall"), F.lit("flat"))).alias("raster_id"), "tile_index", "pixels")
+    p = points(spark, sf_dir).withColumn("raster_id", F.when(F.col("event_id") % 2 == 0, "tall").otherwise("flat"))
+    out = sample.sample_rasters(p, tiles, rasters)
+    at = lambda i: clean(F.try_element_at("values", F.lit(i)))
+    return out.select("event_id", "raster_id", "px", "py", at(1).alias("first"), at(2).alias("second"))
+
+
 @query(sample_sql("SELECT event_id, px IS NULL AS outside FROM s WHERE px IS NULL"))
 def sample_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sample.sample_points(points(spark, sf_dir), tiles_of(spark, sf_dir), level_of(spark, sf_dir), PLACE)
@@ -436,7 +462,7 @@ def stream_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stream.read_points(spark, f"{sf_dir}/event[s].parquet", source.schema)
     e = e.select("event_id", (F.lit(9.513) + F.col("event_id") * 7 % 2200 / 200.0).alias("x"), (F.lit(60.317) - F.col("event_id") * 13 % 1800 / 200.0).alias("y"))
     out = stream.sampled(e, tiles_of(spark, sf_dir), level_of(spark, sf_dir), PLACE)
-    return stream.drain(out.select("event_id", clean(F.col("value")).alias("value")), "stream_sample_rows")
+    return stream.drain_files(out.select("event_id", clean(F.col("value")).alias("value")))
 
 
 # levels and statistics
@@ -579,6 +605,28 @@ def range_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.merge_ranges(o.select("file", (running - F.col("length")).alias("offset"), "length"))
 
 
+@query("""
+WITH RECURSIVE s AS (SELECT o_custkey % 50 AS file, o_orderkey, 1000 + o_orderkey * 7919 % 50000 AS n, o_orderkey * 31 % 90000 AS hole FROM orders),
+r AS (SELECT file, n, sum(n + hole) OVER (PARTITION BY file ORDER BY o_orderkey) - n AS off FROM s),
+i AS (SELECT file, off::BIGINT AS a, (off + n)::BIGINT AS b, row_number() OVER (PARTITION BY file ORDER BY off, n) AS k FROM r),
+w AS (
+  SELECT file, k, a AS start, b AS stop, 1 AS island FROM i WHERE k = 1
+  UNION ALL
+  SELECT file, i.k, CASE WHEN i.a <= stop + 32768 AND greatest(i.b, stop) - start <= 262144 THEN start ELSE i.a END, CASE WHEN i.a <= stop + 32768 AND greatest(i.b, stop) - start <= 262144 THEN greatest(i.b, stop) ELSE i.b END,
+         island + CASE WHEN i.a <= stop + 32768 AND greatest(i.b, stop) - start <= 262144 THEN 0 ELSE 1 END
+  FROM w JOIN i USING (file) WHERE i.k = w.k + 1
+)
+SELECT file, min(start) AS start, max(stop) AS stop, count(*) AS parts FROM w GROUP BY file, island
+""")
+def range_coalesce_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranges, no merged one above 256 KiB."""
+    from pyspark.sql import Window
+
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("file"), "o_orderkey", (F.col("o_orderkey") * 7919 % 50000 + 1000).alias("length"), (F.col("o_orderkey") * 31 % 90000).alias("hole"))
+    running = F.sum(F.col("length") + F.col("hole")).over(Window.partitionBy("file").orderBy("o_orderkey").rangeBetween(Window.unboundedPreceding, 0))
+    return catalog.merge_ranges(o.select("file", (running - F.col("length")).alias("offset"), "length"), most=256 << 10)
+
+
 # pixels and files
 
 
@@ -598,13 +646,40 @@ def rgba_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rgba.to_rgba8(p, ["x", "y", "z", "w"], None, (-1.0, 1.0)).select("vec_id", "pixel", "r", "g", "b", "a")
 
 
+@query("""
+WITH p AS (SELECT vec_id, unnest(range(16)) AS pixel, embedding AS e FROM embeddings),
+v AS (SELECT vec_id, pixel, (vec_id + pixel) % 3 AS kind, list_transform([1, 2, 3, 4], lambda i: floor(abs(e[pixel * 4 + i]::DOUBLE) * 255)) AS v FROM p),
+q AS (SELECT vec_id, pixel, CASE WHEN kind < 2 THEN 9 ELSE v[1] END AS r, CASE WHEN kind < 2 THEN 9 ELSE v[2] END AS g, CASE WHEN kind < 2 THEN 9 ELSE v[3] END AS b, CASE WHEN kind = 0 THEN 9 ELSE v[4] + 10 END AS a FROM v)
+SELECT vec_id, pixel, (CASE WHEN gap THEN 0 ELSE least(r, 255) END)::INTEGER AS r, (CASE WHEN gap THEN 0 ELSE least(g, 255) END)::INTEGER AS g, (CASE WHEN gap THEN 0 ELSE least(b, 255) END)::INTEGER AS b, (CASE WHEN gap THEN 0 ELSE least(a, 255) END)::INTEGER AS a
+FROM (SELECT *, r = 9 AND g = 9 AND b = 9 AND a = 9 AS gap FROM q)
+""")
+def rgba_nodata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four bands where a pixel is nodata only if its alpha is, too."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("pixel"), "embedding")
+    at = lambda i: F.floor(F.abs(F.element_at("embedding", F.col("pixel") * 4 + i + 1).cast("double")) * 255).cast("double")
+    kind = (F.col("vec_id") + F.col("pixel")) % 3
+    bands = [F.when(kind < 2, 9.0).otherwise(at(i)).alias(n) for i, n in enumerate("xyz")] + [F.when(kind == 0, 9.0).otherwise(at(3) + 10).alias("w")]
+    return rgba.to_rgba8(e.select("vec_id", F.col("pixel").cast("long").alias("pixel"), *bands), list("xyzw"), 9.0).select("vec_id", "pixel", "r", "g", "b", "a")
+
+
 @query("SELECT l_orderkey, l_linenumber, (sum(l_partkey % 256) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) % 256)::BIGINT AS sample FROM lineitem")
 def predictor2_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Horizontal differences of bytes undone by a running sum."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.sum(F.col("l_partkey") % 256).over(order) % 256).alias("sample"))
+    """Each order as a row of bytes that are horizontal differences, which the decoder undoes."""
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("l"))
+    rows = rows.select("l_orderkey", F.transform("l", lambda x: x["l_linenumber"].cast("long")).alias("n"), F.transform("l", lambda x: (x["l_partkey"] % 256).cast("int")).alias("d"))
+
+    def undo(batches):
+        for b in batches:
+            out = []
+            for d in b.column(2):
+                raw = np.asarray(d.values.to_numpy(zero_copy_only=False)).astype(np.uint8).tobytes()
+                out.append(tiff.undo_predictor(raw, 2, len(raw), 1, "u1", True).astype(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], names=["l_orderkey", "n", "s"])
+
+    kinds = dict(rows.dtypes)
+    out = rows.mapInArrow(undo, f"l_orderkey {kinds['l_orderkey']}, n array<bigint>, s array<bigint>")
+    return out.select("l_orderkey", F.explode(F.arrays_zip("n", "s")).alias("x")).select("l_orderkey", F.col("x.n").cast(dict(table(spark, sf_dir, "lineitem").dtypes)["l_linenumber"]).alias("l_linenumber"), F.col("x.s").alias("sample"))
 
 
 def synthetic(width: int, height: int, bands: int, kind: str) -> np.ndarray:

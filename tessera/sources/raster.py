@@ -68,6 +68,10 @@ def level_for(header: tiff.Header, request: Request, min_usable: int | None, sou
     return max(fits, key=lambda k: (scale(k), -k), default=0)
 
 
+#: Up to so many requests the tiles to read are worked out before the job.
+PRUNED_REQUESTS = 64
+
+
 @dataclass
 class Raster:
     """An open raster.  hint: compute_at_runtime, all_usable, none_usable, or the index of the coarsest usable overview."""
@@ -150,8 +154,10 @@ class Raster:
         parts = []
         for image, own in by_image.items():
             level = self.header.level(image)
-            boxes = [kernel.footprint(kernel.positions(requests[i], level, self.crs), level, requests[i].method) for i in own]
-            wanted = sorted({t for b in boxes if b is not None for t in kernel.tiles_of(b, level)})
+            wanted = None
+            if len(own) <= PRUNED_REQUESTS:  # few requests: name the tiles to read; many read the image
+                boxes = [kernel.footprint(kernel.positions(requests[i], level, self.crs), level, requests[i].method) for i in own]
+                wanted = sorted({t for b in boxes if b is not None for t in kernel.tiles_of(b, level)})
             out = kernel.extract_tiles(self.spark, [requests[i] for i in own], self.tiles(image, wanted), level, self.crs)
             place = F.element_at(F.array(*[F.lit(i) for i in own]), (F.col("request") + 1).cast("int")).cast("long")
             parts.append(out.withColumn("request", place).withColumn("overview", F.lit(image - 1 if image else None).cast("int")))

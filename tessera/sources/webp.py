@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.rgba import checked_range
+
 #: Order in which the lengths of the code-length code are written: fixed by the format.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 
@@ -33,6 +35,15 @@ class Bits:
             self.held >>= 8
             self.n -= 8
 
+    def put_all(self, values: np.ndarray, widths: np.ndarray) -> None:
+        """values[i] in widths[i] bits, one after another."""
+        before = np.cumsum(widths) - widths
+        shift = np.arange(int(widths.sum())) - np.repeat(before, widths)
+        bits = np.concatenate([self.held >> np.arange(self.n) & 1, np.repeat(values, widths) >> shift & 1]).astype(np.uint8)
+        whole = len(bits) // 8 * 8
+        self.out += np.packbits(bits[:whole], bitorder="little").tobytes()
+        self.held, self.n = sum(int(b) << k for k, b in enumerate(bits[whole:])), len(bits) - whole
+
     def done(self) -> bytes:
         return bytes(self.out + (bytes([self.held]) if self.n else b""))
 
@@ -118,9 +129,10 @@ def encode(rgba: np.ndarray) -> bytes:
     planes = [rgba[..., c].ravel() for c in (1, 0, 2, 3)]  # green, red, blue, alpha
     tables = [write_code(bits, np.bincount(p, minlength=256 + 24 if i == 0 else 256)) for i, p in enumerate(planes)]
     write_code(bits, np.zeros(40, int))  # distances: none
-    for pixel in zip(*[p.tolist() for p in planes], strict=True):
-        for v, (codes, lengths) in zip(pixel, tables, strict=True):
-            bits.put(codes[v], lengths[v])
+    samples = np.stack(planes, axis=1)
+    codes = np.stack([np.array(c, np.int64)[:256][p] for (c, _), p in zip(tables, samples.T, strict=True)], axis=1).ravel()
+    lengths = np.stack([np.array(n, np.int64)[:256][p] for (_, n), p in zip(tables, samples.T, strict=True)], axis=1).ravel()
+    bits.put_all(codes, lengths)
     body = bits.done()
     pad = b"\0" * (len(body) % 2)
     return b"RIFF" + struct.pack("<I", 4 + 8 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad
@@ -131,9 +143,10 @@ def rgba_of(pixels: np.ndarray, nodata: float | None, rescale: tuple[float, floa
     bands = pixels.shape[2]
     if bands not in (1, 3, 4):
         raise ValueError(f"RGBA needs 1, 3 or 4 bands, not {bands}")
+    checked_range(rescale)
     gap = np.isnan(pixels).any(axis=2)
     if nodata is not None:
-        gap |= (pixels[..., :3] == np.float32(nodata)).all(axis=2)
+        gap |= (pixels == np.float32(nodata)).all(axis=2)
     v = pixels.astype(np.float64)
     if rescale:
         n = min(bands, 3)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,22 @@ def windowed(samples: DataFrame, time: str = "ts", width: str = "1 hour", late:
     return ok.groupBy(F.window(time, width)).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most")).select(F.col("window.start").alias("start"), "n", "mean", "least", "most")
 
 
+def drain_files(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """All rows that the stream has now, appended as Parquet to a new folder below `folder` and read from there.
+
+    folder: of a store that driver and executors share; spark.checkpoint.dir if it is not given, a temporary one only where that is unset too.
+    """
+    spark = stream.sparkSession
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    where = f"{folder.rstrip('/')}/{uuid.uuid4()}"
+    q = stream.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    return spark.read.schema(stream.schema).parquet(f"{where}/rows")
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """All rows that the stream has now, through a memory table; for tests and small results."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)

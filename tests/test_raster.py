@@ -180,7 +180,7 @@ def test_corrupt_tile_names_itself():
     h = tiff.parse(cog.reader_of(bytes(content)))
     o = h.images[0].offsets[2]
     content[o : o + 4] = b"\xff\xff\xff\xff"
-    with pytest.raises(tiff.TiffError, match=r"Failed to read source tile 2 \(overview None\)"):
+    with pytest.raises(tiff.TiffError, match="cannot read tile 2 of the full resolution image"):
         list(cog.rows_of("tiles", "x", "x", "", cog.reader_of(bytes(content))))
 
 
@@ -399,3 +399,71 @@ def test_windowed_stream(spark, tmp_path):
     s = stream.windowed(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     out = stream.drain(s, "windowed_rows", "complete").orderBy("start").collect()
     assert [(r.n, r.least, r.most) for r in out] == [(6, 0.0, 5.0), (6, 6.0, 11.0)]
+
+
+def test_requests_as_a_table(spark):
+    """As many requests as there are, planned in tasks: the same pixels as one by one, batches of any size."""
+    rng = np.random.default_rng(8)
+    level = Level(64, 48, 16, 16)
+    tiles = cog.array_tiles(spark, rng.normal(size=(1, 48, 64)).astype(np.float32), 16)
+    requests = [kernel.Request((x, -y - 9.5, x + 9.5, -y), 3857, 7, 7, m) for x, y, m in [(0, 0, "nearest"), (30.2, 11.1, "bilinear"), (3.3, 20.7, "cubic"), (500, 500, "nearest"), (40, 30, "bicubic")] * 5]
+    want = {r.request: (r.tiles_read, r.pixels) for r in kernel.extract_tiles(spark, requests, tiles, level, together=1).collect()}
+    table = kernel.request_frame(spark, requests).repartition(4)
+    for together in (3, 100):
+        got = {r.request: (r.tiles_read, r.pixels) for r in kernel.extract_tiles(spark, table, tiles, level, together=together).collect()}
+        assert got.keys() == want.keys()
+        for k, (n, pixels) in got.items():
+            assert n == want[k][0]
+            np.testing.assert_array_equal(pixels, want[k][1])
+    p = reproject.Reprojection(3857, (0.0, -48.0, 64.0, 0.0), 50, 40, "bilinear", (0,))
+    assert kernel.read_requests(reproject.chunk_table(spark, p, 16).orderBy("request").toArrow()) == list(enumerate(reproject.chunk_requests(p, 16)))
+
+
+def test_ten_thousand_requests_leave_the_driver_alone(spark):
+    level = Level(6400, 6400, 64, 64)
+    p = reproject.Reprojection(3857, (0.0, -6400.0, 6400.0, 0.0), 6400, 6400)
+    keys = kernel.tile_keys(reproject.chunk_table(spark, p, 64), level, 3857, 8)
+    assert keys.select("tile_index").distinct().count() == 10_000
+
+
+def test_headers_cut_off_are_no_rasters(spark, tmp_path):
+    whole = tiff.Writer("deflate", 2, 64, 4326).bytes_of(np.ones((40, 50, 1), "u1"), 10.0, 50.0, 0.1, 0.1)
+    (tmp_path / "good.tif").write_bytes(whole)
+    for n in (0, 1, 4, 8, 9, 20):
+        (tmp_path / f"cut{n}.tif").write_bytes(whole[:n])
+        with pytest.raises(tiff.TiffError):
+            tiff.parse(cog.reader_of(whole[:n]))
+    assert [r["name"] for r in cog.discover(spark, str(tmp_path)).collect()] == ["good"]
+
+
+def test_large_files_are_read_by_runs_of_tiles(spark, tmp_path):
+    cog.register(spark)
+    content = tiff.Writer("none", 1, 16, 4326).bytes_of(np.arange(100 * 90, dtype="u2").reshape(90, 100, 1), 10.0, 50.0, 0.1, 0.1)
+    (tmp_path / "a.tif").write_bytes(content)
+    read = lambda **o: spark.read.format("cog").option("what", "tiles").options(**o).load(str(tmp_path))
+    one, many = read(), read(partitionBytes=2000)
+    assert one.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() > 5
+    rows = lambda df: sorted((r.level, r.tile_index, tuple(r.pixels)) for r in df.collect())
+    assert rows(one) == rows(many)
+    assert rows(many.where("level = 0 and tile_index in (3, 40)")) == [r for r in rows(one) if r[0] == 0 and r[1] in (3, 40)]
+
+
+def test_nodata_of_four_bands_takes_all_of_them(spark):
+    pixels = np.array([[[7, 7, 7, 7], [7, 7, 7, 200], [1, 7, 7, 7], [7, 7, np.nan, 7]]], np.float32)
+    want = [[0, 0, 0, 0], [7, 7, 7, 200], [1, 7, 7, 7], [0, 0, 0, 0]]
+    assert webp.rgba_of(pixels, 7.0, None)[0].tolist() == want
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pixels[0].tolist())], "i int, x double, y double, z double, w double")
+    assert [list(r) for r in rgba.to_rgba8(df, list("xyzw"), 7.0).orderBy("i").select("r", "g", "b", "a").collect()] == want
+    for bad in ((1.0, 1.0), (2.0, 1.0), (0.0, math.inf), (math.nan, 1.0)):
+        with pytest.raises(ValueError, match="rescale"):
+            webp.rgba_of(pixels, None, bad)
+        with pytest.raises(ValueError, match="rescale"):
+            rgba.to_rgba8(df, list("xyzw"), None, bad)
+
+
+def test_bounded_range_merging_is_that_of_one_file(spark):
+    rng = np.random.default_rng(3)
+    ranges = sorted({int(x): int(n) for x, n in zip(rng.integers(0, 400_000, 200), rng.integers(1, 9000, 200), strict=True)}.items())
+    df = spark.createDataFrame([(1, a, n) for a, n in ranges], "file int, offset long, length long")
+    got = sorted((r.start, r.stop) for r in catalog.merge_ranges(df, 500, 20_000).collect())
+    assert got == catalog.coalesce([(a, a + n) for a, n in ranges], 500, 20_000)
