@@ -7,13 +7,30 @@ from pyspark.sql import functions as F
 
 from .session import cut
 
+#: Share of the edges, as its inverse, from which on a node is a hub.
+HUBS = 1000
+
+
+def with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """edges (u, v) with m: least (u, m, degree) of u.
+
+    The nodes of more than `most` edges are at most as many as edges / most, and go to all tasks instead of their edges to
+    one; the others meet by key.
+    """
+    hubs = F.broadcast(least.where(F.col("degree") > most).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
+    marked = edges.join(hubs, edges["u"] == hubs["hub"], "left")
+    near = marked.where("hub is null").select("u", "v").join(least.where(F.col("degree") <= most).select("u", "m"), "u")
+    return near.unionByName(marked.where("hub is not null").select("u", "v", F.col("hub_m").alias("m")))
+
 
 def connected(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) of edges (a, b): component is the least node reachable; self-loops and repeats are welcome.
 
     Alternating large-star and small-star rounds: a node's neighbours move to its
     least neighbour, so stars grow and their number of rounds is logarithmic.  A
-    hub's edges are aggregated partially and joined, not gathered in one task.
+    hub's edges are aggregated partially, and its least neighbour goes to where its
+    edges are: a node with more than one edge in HUBS of all is a hub, so that there
+    are no more than 2 * HUBS of them, and no task gets more edges of one node.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, seen = cut(e), None
@@ -22,11 +39,12 @@ def connected(edges: DataFrame, most: int = 60) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
+        hub = max(1, 2 * state[0] // HUBS)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select("v", "m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
+        large = with_least(both, least, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = with_least(large, least, hub).where("v <> m").select("v", "m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")

@@ -21,7 +21,8 @@ the `k` least values are the document's sketch.
 
 Null and empty texts have empty sets and are linked with nothing.  A row without
 doc_id is linked with nothing, has a null component and is kept.  Repeated rows
-have equal results.  Extra columns pass through.
+have equal results.  Extra columns pass through; one named like a result comes out
+with `_in` after its name.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .carry import packed, unpacked
 from .graph import connected
 from .session import cut
 from .textkit import BYTE_BASE, BYTE_VALUE, U, WORD_BASE, chunks, mix, prefix_sums, release, span_hash
@@ -163,7 +165,7 @@ def estimates(x: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, group_docs: int = 4_000, columns: list[str] | None = None) -> DataFrame:
     """doc_id, columns, n_shingles, component_id and kept for each row of docs (doc_id, text, columns)."""
     extra = columns or []
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), packed(extra), F.col("text").cast("string").alias("text"))
     seen = cut(sketches(docs, words, k))
     own = seen.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = cut(own.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
@@ -198,7 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     final = classes.join(found, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = seen.join(final, ["n", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", *extra, F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    return out.select("doc_id", *unpacked(extra, ["doc_id", "n_shingles", "component_id", "kept"]), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ hash of all their words, which verifies the repeats.
 
 A word goes if a window over it starts anywhere else too.  Whole texts are read;
 null texts have no words, texts shorter than a window keep all.  A null doc_id is
-a document like any other; repeated rows repeat each other.  Extra columns pass.
+a document like any other; repeated rows repeat each other.  Extra columns pass;
+one named like a result comes out with `_in` after its name.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .blocks import Exchange, blocked, deltas, expand, shard_runs, squeeze, sums, table_bytes
+from .carry import REST, packed, unpacked
 from .textkit import U, WORD_BASE, chunks, mix, windows
 
 #: Low hash bits left out in the first exchange: signs alike by chance only ask in vain.
@@ -88,6 +90,9 @@ class Symbols:
         name = np.where(merged, mix(self.name[keep] * U(0x9E3779B97F4A7C15) + mix(self.name[mate] + U(salt))), self.name[keep])
         return Symbols(name, np.where(merged, np.minimum(left[keep], left[mate]), left[keep]), np.where(merged, np.maximum(right[keep], right[mate]), right[keep]), self.doc[keep], self.bounds)
 
+#: The results' names.
+OWN = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
+
 
 def range_argmin(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The leftmost least of values[low : high + 1] for each range, none empty."""
@@ -171,7 +176,7 @@ def told(answers) -> np.ndarray:
 def recompression_dedup(docs: DataFrame, size: int = 35, rounds: int = 3, block_bytes: int = 3 << 19, shard_bytes: int = 4 << 20, kept: bool = False, columns: list[str] | None = None) -> DataFrame:
     """For each row of docs (doc_id, text, columns): n_words, n_removed, kept_sha256 and, if asked for, kept: the words that remain."""
     extra = columns or []
-    blocks, _ = blocked(docs, extra, block_bytes)
+    blocks, _ = blocked(docs.select("doc_id", "text", packed(extra)), [REST], block_bytes)
     exchange = Exchange(blocks, max(64, math.ceil(table_bytes(docs) / shard_bytes)))
     shards = exchange.shards
 
@@ -222,16 +227,16 @@ def recompression_dedup(docs: DataFrame, size: int = 35, rounds: int = 3, block_
                 counts.append(len(words))
                 gone_counts.append(k)
             base += n
-        named = {"doc_id": table["doc_id"], **{c: table[c] for c in extra}, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(gone_counts, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())}
+        named = {"doc_id": table["doc_id"], REST: table[REST], "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(gone_counts, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())}
         if kept:
             named["kept"] = pa.array([x.decode("utf-8", "replace") for x in out], pa.string())
         return pa.table(named)
 
     exchange.round(ask_signs, answer_twice)
     exchange.round(ask_windows, answer_twice)
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in extra), "n_words long, n_removed long, kept_sha256 string", *["kept string"] * kept])
-    return exchange.finish(remove, schema)
+    schema = ", ".join(["doc_id long", f"{REST} {dict(blocks.dtypes)[REST]}", "n_words long, n_removed long, kept_sha256 string", *["kept string"] * kept])
+    out = exchange.finish(remove, schema)
+    return out.select("doc_id", *unpacked(extra, OWN), *[c for c in OWN[1:] if c in out.columns])
 
 
 def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:

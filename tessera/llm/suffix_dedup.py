@@ -18,7 +18,8 @@ with a smaller doc_id.  All occurrences of such a string must meet in one shard:
 
 Texts are whole; null texts are empty; texts under `size` bytes keep everything.
 A row with a null doc_id has no order: it loses nothing and costs others nothing.
-Rows with equal doc_id never cost each other bytes.  Extra columns pass through.
+Rows with equal doc_id never cost each other bytes.  Extra columns pass
+through; one named like a result comes out with `_in` after its name.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .blocks import Exchange, blocked, deltas, expand, shard_runs, squeeze, sums, table_bytes
+from .carry import REST, packed, unpacked
 from .textkit import BYTE_BASE, BYTE_VALUE, U, chunks, mix, prefix_sums, span_hash, windows
 
 NEVER = np.iinfo(np.int64).max
@@ -41,6 +43,9 @@ TAGS = 1 << 24
 #: Bytes of text of which a shard makes transforms at a time.
 PART_BYTES = 1 << 19
 
+#: The results' names.
+OWN = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+
 
 def doc_ids(table: pa.Table) -> np.ndarray:
     return table["doc_id"].fill_null(NEVER).to_numpy().astype(np.int64)
@@ -219,7 +224,7 @@ def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10
     if size % step:
         raise ValueError("size must be a multiple of step")
     extra = columns or []
-    blocks, _ = blocked(docs, extra, block_bytes)
+    blocks, _ = blocked(docs.select("doc_id", "text", packed(extra)), [REST], block_bytes)
     shards = max(64, math.ceil(table_bytes(docs) / shard_bytes))
     exchange = Exchange(blocks, shards)
 
@@ -353,16 +358,16 @@ def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10
         begins[starts[starts < len(gone)]] = gone[starts[starts < len(gone)]]
         g, b = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins))
         rest = [data[i:j][~gone[i:j]].tobytes() if g[j] > g[i] else data[i:j].tobytes() for i, j in zip(starts, ends, strict=True)]
-        out = {"doc_id": table["doc_id"], **{c: table[c] for c in extra}, "n_bytes": pa.array(ends - starts, pa.int64()), "n_removed": pa.array(g[ends] - g[starts], pa.int64()), "n_spans": pa.array(b[ends] - b[starts], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in rest], pa.string())}
+        out = {"doc_id": table["doc_id"], REST: table[REST], "n_bytes": pa.array(ends - starts, pa.int64()), "n_removed": pa.array(g[ends] - g[starts], pa.int64()), "n_spans": pa.array(b[ends] - b[starts], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in rest], pa.string())}
         if kept:
             out["kept"] = pa.array([x.decode("utf-8", "ignore") for x in rest], pa.string())
         return pa.table(out)
 
     exchange.round(ask_anchors, answer_anchors)
     exchange.round(ask_texts, answer_texts)
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in extra), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept string"] * kept])
-    return exchange.finish(remove, schema)
+    schema = ", ".join(["doc_id long", f"{REST} {dict(blocks.dtypes)[REST]}", "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept string"] * kept])
+    out = exchange.finish(remove, schema)
+    return out.select("doc_id", *unpacked(extra, OWN), *[c for c in OWN[1:] if c in out.columns])
 
 
 def document_bytes(table: pa.Table) -> list[np.ndarray]:

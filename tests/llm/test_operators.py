@@ -455,7 +455,40 @@ def test_topk_block_of_large_numbers():
     """Scores above 2 ** 53, where an id has several vectors."""
     c = np.array([[3 << 30], [2 << 30], [1 << 30], [5]])
     found = topk_search.search_block((np.array([9]), np.array([[1 << 30]])), (np.array([1, 1, 2, 3]), c), 2)
-    assert found == [(9, 1, 3 << 60), (9, 2, 1 << 60)]
+    assert found == ([(9, 1, 3 << 60), (9, 2, 1 << 60)], 4)
+
+
+def test_topk_of_huge_and_empty_vectors(spark):
+    """Finite vectors whose products do not fit a long take no part; empty ones have products of 0."""
+    rows = [(i, [float(i), 1.0]) for i in range(60)] + [(100, [1e18, 1.0]), (150, [3e7, -3e7]), (151, [-1e300, 0.0]), (200, []), (202, []), (203, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = topk_search.quantised(df, "vec_id", "embedding", 256.0)
+    assert {r.id for r in q.collect()} == {*range(60), 200, 202, 203}
+    got = [tuple(r) for r in topk_search.topk_search(q, q.where("id % 50 = 0"), 2).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (50, 1, 59, 65536 * 2951), (50, 2, 58, 65536 * 2901), (200, 1, 202, 0), (200, 2, 203, 0)]
+
+
+def clustered(n, seed=7):
+    """Vectors around 40 centres of very uneven directions."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, 32)) * np.geomspace(900, 3, 32)
+    return np.rint(centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 32)) * 20).astype(np.int64)
+
+
+def test_topk_prunes_clustered_vectors(spark):
+    """Most pairs go by the blocks' summaries and by statistics, the answers are those of all products."""
+    x = clustered(3000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<long>")
+    asked = df.where("id % 50 = 0")
+    got = [tuple(r) for r in topk_search.topk_search(df, asked, 5, 64, 128).orderBy("query_id", "rank").collect()]
+    want = []
+    for i in range(0, 3000, 50):
+        s = x @ x[i]
+        want += [(i, k + 1, j, int(s[j])) for k, j in enumerate(sorted((j for j in range(3000) if j != i), key=lambda j: (-s[j], j))[:5])]
+    assert got == want
+    work = topk_search.topk_search(df, asked, 5, 64, 128, with_scored=True).agg(F.sum("met"), F.sum("scored")).first()
+    pairs = 60 * 3000
+    assert work[0] < 0.5 * pairs and work[1] < 0.05 * pairs
 
 
 def test_bounds_are_above_the_scores():
