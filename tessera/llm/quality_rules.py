@@ -3,9 +3,15 @@
 Each rule needs some features of a text and says which texts it rejects.  A
 bounded sample gives every rule's cost (seconds a text for the features that no
 earlier rule has made) and selectivity; rules run in order of rejections per
-second.  In each batch a rule sees only the texts that all earlier rules passed,
-so a costly feature is made for few texts.  The verdict does not depend on the
-order, which only the time taken does.
+second.  In each batch a rule sees only the texts that all earlier rules passed.
+The counts that are part of the result are made for all texts, once, and cost a
+rule nothing more: rules that need no others come first, and a feature beyond them
+is made for the texts that are left.  The verdict does not depend on the order,
+which only the time taken does.
+
+The sample is a random share of the rows of about `sample_bytes` of text; tasks
+measure it where it lies, and the driver gets the times and how many rows each
+combination of rules rejects.
 
 Null and empty texts have no words and fail `min_words`.  Any column may be null.
 Extra input columns are ignored; repeated rows give repeated results.
@@ -22,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import table_bytes
 from .textkit import BYTE_BASE, BYTE_VALUE, U, WORD_BASE, Chunk, chunks, mix, prefix_sums, span_hash, windows
 
 SYMBOLS = np.zeros(256, np.int64)
@@ -132,15 +139,14 @@ def sub_chunk(c: Chunk, docs: np.ndarray) -> Chunk:
     return Chunk(c.data[np.cumsum(keep[:-1]) > 0], np.concatenate([[0], np.cumsum(lengths)]), c.first)
 
 
-def run_cascade(c: Chunk, rules: tuple[Rule, ...], always: tuple[str, ...] = ()) -> tuple[np.ndarray, Features]:
-    """(place of the first rule that rejects each text, -1: none; features of the groups in `always`, for all texts)."""
-    verdict, alive, made = np.full(c.n, -1), np.arange(c.n), {}
-    part, own = c, {}
-    for name in always:
-        made |= MAKERS[name](c)
-    own |= made
-    have = set(always)
+def run_cascade(c: Chunk, rules: tuple[Rule, ...], known: Features | None = None, always: tuple[str, ...] = ()) -> np.ndarray:
+    """The place of the first rule that rejects each text, -1: none.  known: features of the groups in `always`, which are not made again."""
+    verdict, alive = np.full(c.n, -1), np.arange(c.n)
+    part, own, have = c, dict(known or {}), set(always)
+    narrowed = False
     for k, rule in enumerate(rules):
+        if narrowed and not have.issuperset(rule.needs):
+            part, narrowed = sub_chunk(c, alive), False
         for name in rule.needs:
             if name not in have:
                 own |= MAKERS[name](part)
@@ -149,32 +155,51 @@ def run_cascade(c: Chunk, rules: tuple[Rule, ...], always: tuple[str, ...] = ())
         if bad.any():
             verdict[alive[bad]] = k
             left = np.flatnonzero(~bad)
-            alive, own = alive[left], {n: v[left] for n, v in own.items()}
-            if k + 1 < len(rules) and len(left):
-                part = sub_chunk(part, left)
+            alive, own, narrowed = alive[left], {n: v[left] for n, v in own.items()}, True
             if not len(left):
                 break
-    return verdict, made
-
-
-def ordered(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = 2000) -> tuple[Rule, ...]:
-    """The rules by rejections per second on a sample of at most `sample_rows` texts, greedily: what an earlier rule made is free."""
-    rows = docs.select(F.col("text").cast("string").alias("text")).limit(sample_rows).toArrow()
-    if not rows.num_rows:
-        return rules
-    cost, rejected = dict.fromkeys(MAKERS, 0.0), np.zeros((len(rules), 0), bool)
-    for c in chunks(rows["text"]):
-        own: Features = {}
-        for name in {n for r in rules for n in r.needs}:
-            began = time.perf_counter()
-            own |= MAKERS[name](c)
-            cost[name] += (time.perf_counter() - began) / rows.num_rows
-        rejected = np.concatenate([rejected, np.stack([r.rejects(own) for r in rules])], axis=1)
+    return verdict
+
+
+def measured(docs: DataFrame, rules: tuple[Rule, ...], sample_bytes: int, seed: int = 11) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
+    """(seconds a text of each feature group, rejections (rules, combinations), texts of each combination) on a random sample of the rows.
+
+    At most 2 ** len(rules) combinations come to the driver, whatever the sample.
+    """
+    names = sorted({n for r in rules for n in r.needs})
+    share = min(1.0, sample_bytes / max(1, table_bytes(docs)))
+    rows = docs.select(F.col("text").cast("string").alias("text"))
+    rows = rows.sample(fraction=share, seed=seed) if share < 1 else rows
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        took, seen = dict.fromkeys(names, 0.0), np.zeros(1 << len(rules), np.int64)
+        for b in batches:
+            for c in chunks(b.column(0)):
+                own: Features = {}
+                for name in names:
+                    began = time.perf_counter()
+                    own |= MAKERS[name](c)
+                    took[name] += time.perf_counter() - began
+                seen += np.bincount(sum(r.rejects(own).astype(np.int64) << k for k, r in enumerate(rules)), minlength=len(seen))
+        at = np.flatnonzero(seen)
+        kinds = [*(f"rules {x}" for x in at.tolist()), *(f"time {n}" for n in names)]
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([*seen[at].astype(float), *(took[n] for n in names)], pa.float64())], names=["kind", "amount"])
+
+    found = dict(rows.mapInArrow(measure, "kind string, amount double").groupBy("kind").agg(F.sum("amount")).collect())
+    which = sorted(int(k.split()[1]) for k in found if k.startswith("rules "))
+    count = np.array([found[f"rules {x}"] for x in which])
+    rejected = np.array([[x >> k & 1 for x in which] for k in range(len(rules))], bool).reshape(len(rules), len(which))
+    return {n: found.get(f"time {n}", 0.0) / max(1.0, count.sum()) for n in names}, rejected, count
+
+
+def by_rate(rules: tuple[Rule, ...], cost: dict[str, float], rejected: np.ndarray, count: np.ndarray, always: tuple[str, ...] = ()) -> tuple[Rule, ...]:
+    """The rules by rejections per second, greedily: what an earlier rule made, or `always`, is free."""
     out: list[Rule] = []
-    left, have, alive = list(range(len(rules))), set(), np.ones(rejected.shape[1], bool)
+    left, have, alive = list(range(len(rules))), set(always), np.ones(rejected.shape[1], bool)
     while left:
-        rate = {k: (rejected[k][alive].mean() if alive.any() else 0) / (1e-9 + sum(cost[n] for n in rules[k].needs if n not in have)) for k in left}
-        best = max(left, key=lambda k: (rate[k], -k))
+        rest = max(1.0, float(count[alive].sum()))
+        rate = {k: float(count[alive & rejected[k]].sum()) / rest / (1e-9 + sum(cost.get(n, 0.0) for n in rules[k].needs if n not in have)) for k in left}
+        best = max(left, key=lambda k: (rate[k], have.issuperset(rules[k].needs), -k))
         left.remove(best)
         out.append(rules[best])
         have |= set(rules[best].needs)
@@ -182,19 +207,27 @@ def ordered(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...], sampl
     return tuple(out)
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
+def ordered(docs: DataFrame, rules: tuple[Rule, ...], always: tuple[str, ...] = (), sample_bytes: int = 4 << 20) -> tuple[Rule, ...]:
+    """The rules in the order of the cascade; `always`: feature groups that are there anyway."""
+    cost, rejected, count = measured(docs, rules, sample_bytes)
+    return by_rate(rules, cost, rejected, count, always) if len(count) else rules
+
+
+#: Feature groups that the result shows, which all texts need.
+SHOWN = ("words", "chars", "symbols", "lines", "repeats")
+
+
+def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, the base counts, base_failed and kept for each row of docs (doc_id, text)."""
-    order = ordered(docs.sparkSession, docs, rules, sample_rows)
     base = {r.name for r in BASE_RULES}
-    rest = tuple(r for r in order if r.name not in base)
-    always = ("words", "chars", "symbols", "lines", "repeats")
+    rest = ordered(docs, tuple(r for r in rules if r.name not in base), SHOWN, sample_bytes)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, text = b.column(0), b.column(1)
             for c in chunks(text):
                 f: Features = {}
-                for name in always:
+                for name in SHOWN:
                     f |= MAKERS[name](c)
                 failed = np.zeros(c.n, bool)
                 for r in BASE_RULES:
@@ -202,7 +235,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
                 kept = ~failed
                 if rest and kept.any():
                     alive = np.flatnonzero(kept)
-                    verdict, _ = run_cascade(sub_chunk(c, alive), rest)
+                    verdict = run_cascade(sub_chunk(c, alive), rest, {n: v[alive] for n, v in f.items()}, SHOWN)
                     kept[alive[verdict >= 0]] = False
                 cols = [pa.array(f[n], pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n), *cols, pa.array(failed), pa.array(kept)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])

@@ -78,16 +78,31 @@ def test_cascade_is_the_same_in_any_order():
 
     text = pa.array([r[1] for r in corpus()] + ["SHOUT LOUD " * 60, "!!! ??? " * 60])
     for c in textkit.chunks(text):
-        want = quality_rules.run_cascade(c, quality_rules.RULES)[0] >= 0
+        want = quality_rules.run_cascade(c, quality_rules.RULES) >= 0
+        known = {k: v for n in quality_rules.SHOWN for k, v in quality_rules.MAKERS[n](c).items()}
+        np.testing.assert_array_equal(quality_rules.run_cascade(c, quality_rules.RULES, known, quality_rules.SHOWN) >= 0, want)
         for order in itertools.islice(itertools.permutations(quality_rules.RULES), 0, 5040, 700):
-            np.testing.assert_array_equal(quality_rules.run_cascade(c, order)[0] >= 0, want)
+            np.testing.assert_array_equal(quality_rules.run_cascade(c, order) >= 0, want)
 
 
 def test_order_by_rejection_per_cost(spark):
     rows = [(i, "few words", "en", "a", 1) for i in range(40)]
-    order = quality_rules.ordered(spark, frame(spark, rows), quality_rules.RULES)
+    order = quality_rules.ordered(frame(spark, rows), quality_rules.RULES)
     assert order[0].name == "min_words"
     assert {r.name for r in order} == {r.name for r in quality_rules.RULES}
+    # features that are there anyway cost nothing: their rules come first, the others by what is still to pay
+    rest = quality_rules.ordered(frame(spark, rows), quality_rules.RULES, quality_rules.SHOWN)
+    assert {r.name for r in rest[-2:]} == {"upper_case", "marks"}
+
+
+def test_measures_of_a_sample(spark):
+    rows = [(i, "few words" if i % 4 else "SHOUT " * 60, "en", "a", 1) for i in range(400)]
+    cost, rejected, count = quality_rules.measured(frame(spark, rows), quality_rules.RULES, 1 << 30)
+    assert count.sum() == 400 and count[rejected[0]].sum() == 300 and all(cost[n] > 0 for n in quality_rules.MAKERS)
+    R = quality_rules.Rule
+    rules = (R("dear", ("a",), None), R("cheap", ("b",), None), R("shown", ("c",), None))
+    order = quality_rules.by_rate(rules, {"a": 1.0, "b": 0.1, "c": 5.0}, np.array([[True, False], [True, False], [False, True]]), np.array([5.0, 1.0]), ("c",))
+    assert [r.name for r in order] == ["shown", "cheap", "dear"]
 
 
 # classifier
