@@ -7,8 +7,12 @@ what it got, and its answers come back to the block.  Rows of text are shuffled
 once: every round reads the same exchange.  All of it is one lazy plan of
 grouped Arrow functions, so lost executors cost their tasks only.
 
-`block_bytes` bounds the memory of a task; the number of messages is blocks times
-shards, so raise both sizes with the square root of the input.
+The number of messages is blocks times shards.  So both sizes grow with the square
+root of the input, as far as a task's memory goes (`sized`), and shuffles have as
+many partitions as the input needs, whatever the session's number is.
+
+Rows are dealt to blocks by a hash of id and text, moved on by the task that reads
+them and by how many equal rows it had before: no id or text fills a block.
 """
 
 from __future__ import annotations
@@ -19,11 +23,14 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkit import U, release
 
+#: Bytes of documents for each shuffle partition.
+PARTITION_BYTES = 64 << 20
 #: The column of a row's block.
 BLOCK = "__block"
 MESSAGE = "block int, shard int, body binary"
@@ -41,17 +48,36 @@ def table_bytes(df: DataFrame) -> int:
     return size
 
 
+def task_memory(spark: SparkSession) -> int:
+    """Bytes of heap that a task has."""
+    conf, local = spark.sparkContext.getConf(), spark.sparkContext.master.startswith("local")
+    memory = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g")
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1")) // int(conf.get("spark.task.cpus", "1"))
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(memory)) // max(1, cores)
+
+
+def sized(docs: DataFrame, least: int) -> int:
+    """Bytes of a block or shard: `least`, or more for large tables if a task's memory holds some hundred times as much."""
+    return max(least, min(math.isqrt(table_bytes(docs) * 4096), task_memory(docs.sparkSession) // 400))
+
+
 def blocked(docs: DataFrame, columns: list[str], block_bytes: int = 3 << 19, least: int = 64) -> tuple[DataFrame, int]:
     """docs with `block` from doc_id and text, and how many blocks there are; each text is compressed for the shuffle."""
     n = max(least, math.ceil(table_bytes(docs) / block_bytes))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("__block")
+    block = F.xxhash64("doc_id", "text").alias("__block")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
+        z, task, seen = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), {}
         for b in batches:
+            blocks = []
+            for h in b.column(0).to_pylist():
+                k = seen[h] = seen.get(h, 0) + 1
+                blocks.append((h + 40503 * task + k // 16) % n)
+            if len(seen) > 1 << 18:
+                seen.clear()
             texts = [None if t is None else z.compress(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(texts, pa.binary()), *b.columns[3:]], names=[BLOCK, "doc_id", "text", *columns])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), b.column(1), pa.array(texts, pa.binary()), *b.columns[3:]], names=[BLOCK, "doc_id", "text", *columns])
         release()
 
     kinds = dict(docs.dtypes)
@@ -117,10 +143,17 @@ class Exchange:
     """Rounds of questions.  ask(table, answers, state) gives (shard, message) pairs, where shard None is the block's
     own state for the next round; reduce(messages by block) gives answers by block."""
 
-    def __init__(self, blocks: DataFrame, shards: int):
-        self.blocks, self.shards, self.answers = blocks, shards, None
+    def __init__(self, blocks: DataFrame, shards: int, size: int = 0):
+        """size: bytes of the documents, from which the number of shuffle partitions follows where the session has fewer."""
+        want = math.ceil(size / PARTITION_BYTES)
+        self.parts = want if want > int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+        self.blocks, self.shards, self.answers = self.dealt(blocks, BLOCK), shards, None
+
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        return df.repartition(self.parts, key) if self.parts else df
 
-    def round(self, ask: Callable, reduce: Callable) -> None:
+    def round(self, ask: Callable, reduce: Callable, table: DataFrame | None = None) -> None:
+        """table: rows with a column `shard` that meet the shard's messages; reduce then gets them as a second argument."""
         shards = self.shards
 
         def addressed(table: pa.Table, back: pa.Table | None) -> pa.Table:
@@ -133,30 +166,43 @@ class Exchange:
             release()
             return sent
 
-        def reduced(key: tuple, table: pa.Table) -> pa.Table:
-            shard, blocks, bodies = key[0].as_py(), _column(table, "block"), _column(table, "body")
+        def reduced(table: pa.Table, rows: pa.Table | None = None) -> pa.Table:
+            if not table.num_rows:
+                return _send(0, [])
+            shard, blocks, bodies = table["shard"][0].as_py(), _column(table, "block"), _column(table, "body")
             if shard & STATE:
                 return table.select(["block", "shard", "body"])
-            out = list(reduce(list(zip(blocks, bodies, strict=True))))
+            messages = list(zip(blocks, bodies, strict=True))
+            out = list(reduce(messages) if rows is None else reduce(messages, rows))
             release()
             return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "shard": pa.array([shard] * len(out), pa.int32()), "body": pa.array([b for _, b in out], pa.binary())})
 
         if self.answers is None:
             sent = self.blocks.groupBy(BLOCK).applyInArrow(lambda table: addressed(table, None), MESSAGE)
         else:
-            sent = self.blocks.groupBy(BLOCK).cogroup(self.answers.groupBy("block")).applyInArrow(addressed, MESSAGE)
-        self.answers = sent.groupBy("shard").applyInArrow(reduced, MESSAGE)
+            sent = self.blocks.groupBy(BLOCK).cogroup(self.dealt(self.answers, "block").groupBy("block")).applyInArrow(addressed, MESSAGE)
+        own = self.dealt(sent, "shard").groupBy("shard")
+        if table is None:
+            self.answers = own.applyInArrow(lambda t: reduced(t), MESSAGE)
+        else:
+            self.answers = own.cogroup(self.dealt(table, "shard").groupBy("shard")).applyInArrow(lambda t, rows: reduced(t, rows), MESSAGE)
 
     def finish(self, last: Callable, schema: str) -> DataFrame:
         """last(table, answers, state) gives a table of the schema for each block."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
         def ended(table: pa.Table, back: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return empty
             answers, state = received(back)
             out = last(in_order(table), answers, state)
             release()
             return out
 
-        return self.blocks.groupBy(BLOCK).cogroup(self.answers.groupBy("block")).applyInArrow(ended, schema)
+        return self.blocks.groupBy(BLOCK).cogroup(self.dealt(self.answers, "block").groupBy("block")).applyInArrow(ended, schema)
 
 
 def in_order(table: pa.Table) -> pa.Table:

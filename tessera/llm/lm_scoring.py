@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Exchange, blocked, deltas, expand, shard_runs, squeeze, sums, table_bytes
+from .blocks import Exchange, blocked, deltas, expand, shard_runs, sized, squeeze, sums, table_bytes
 from .textkit import U, WORD, WORD_BASE, chunks, mix, windows
 
 #: n-gram hashes go without their lowest bits, to be shorter messages.
@@ -54,8 +54,8 @@ def block_grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarr
 
 def lm_scoring(docs: DataFrame, order: int = 3, least: int = 2, backoff: float = 0.4, block_bytes: int = 2 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, log_score (natural) and mean_log_score for each row of docs (doc_id, text)."""
-    blocks, _ = blocked(docs, [], block_bytes)
-    exchange = Exchange(blocks, max(64, math.ceil(table_bytes(docs) / shard_bytes)))
+    blocks, _ = blocked(docs, [], sized(docs, block_bytes))
+    exchange = Exchange(blocks, max(64, math.ceil(table_bytes(docs) / sized(docs, shard_bytes))), table_bytes(docs))
     shards = exchange.shards
     total = int(docs.select(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)))).first()[0] or 0)
 

@@ -12,6 +12,11 @@ splitting tree: a node's quotas by source split in two halves as if its slots
 were shuffled, which fixes how many of each source's draws every shard gets, and
 the shards take disjoint runs of the permuted draws.  A hash orders each shard.
 
+Blocks and shards grow with the table (`block_docs`, `shard_docs`), so that neither
+the block that is cut nor a shard does.  One row a source, and a row a block of one
+source, meet in one task: sources are taken to be few (thousands), and a source has
+at most `MOST_BLOCKS` blocks.
+
 Null texts have size 0 and are taken 0 times their words; a null source is a
 source, the last.  Documents of a source without words are never taken.  Extra
 columns pass through `mixed` untouched.  Equal rows are counted each.
@@ -19,6 +24,8 @@ columns pass through `mixed` untouched.  Equal rows are counted each.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,10 +108,25 @@ def _fold(level: int, seed: int) -> str:
     return f"aggregate(q, {start}, (s, x) -> {step}, s -> s.out)"
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, blocks: int = 1024, levels: int = 4, seed: int = 29, carry: list[str] | None = None) -> DataFrame:
+#: Blocks of a source, at most.
+MOST_BLOCKS = 1 << 20
+
+
+def doubled(least: int, want: float, most: int) -> int:
+    """The least power of two times `least` that is `want` or more, at most `most`."""
+    return min(most, least << max(0, math.ceil(math.log2(max(1.0, want / least)))))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, blocks: int = 1024, levels: int = 4, seed: int = 29, carry: list[str] | None = None, block_docs: int = 512, shard_docs: int = 1 << 20) -> DataFrame:
     """__row (a struct of the columns in carry, all if None) for each row of docs (source, text, ...), with size, source_size,
-    target, copies, shards: the output shards its copies go to, and place: its order in a shard."""
+    target, copies, shards: the output shards its copies go to, and place: its order in a shard.
+
+    blocks, levels: the least number of blocks, and of halvings into shards; more if they would hold over block_docs or shard_docs documents.
+    """
     keep = docs.columns if carry is None else carry
+    rows = docs.count()
+    blocks = doubled(blocks, rows / block_docs, MOST_BLOCKS)
+    levels = doubled(1 << levels, rows / shard_docs, 1 << 14).bit_length() - 1
     order = F.xxhash64(F.lit(seed), "__key", "size")
     sized = docs.select(F.struct(*keep).alias("__row"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), (F.col("doc_id") if "doc_id" in docs.columns else F.xxhash64("text")).alias("__key"))
     dealt = sized.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "__key", "size"), F.lit(blocks)).cast("int"))

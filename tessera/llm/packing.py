@@ -1,22 +1,25 @@
 """Operator 3, packing: first-fit decreasing in randomised groups of documents.
 
 A document's ids are its tokens and an end id.  Documents longer than a sequence
-give full pieces and a remainder.  A hash deals the remainders to groups of about
-`group_pieces`; in each group first-fit decreasing puts them into bins, and a
+give full pieces and a remainder.  A hash deals the pieces to groups of about
+`group_pieces`, equal ones as well: the hash takes in the task that cut the piece
+and how many like it the task had before.  In each group first-fit decreasing puts them into bins, and a
 tournament tree over the bins' free room finds the first bin that fits in a
 logarithm of their number.  Groups never see each other, so memory is bounded.
 
 Null and empty texts have the end id alone.  A null doc_id is a document like
-any other; repeated rows are packed each on their own.
+any other; repeated rows are packed each on their own.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,14 +154,21 @@ def first_fit_decreasing(lengths: list[int], room: int) -> list[int]:
 
 def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 2, group_pieces: int = 4096, seed: int = 17, with_ids: bool = False) -> DataFrame:
     """A row for each piece of each row of docs (doc_id, text): where it starts, its length, its sequence and its place there."""
-    groups = max(1, round(docs.count() / group_pieces))
+    # a piece at least for each row, and one more for what its bytes may fill: long documents are many pieces
+    pieces_of = F.lit(1) + F.floor(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) / (4 * max_tokens))
+    groups = max(1, round((docs.select(F.sum(pieces_of)).first()[0] or 0) / group_pieces))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        # a task's rows are the same in a rerun, and equal pieces are alike whichever comes first
+        task, seen = TaskContext.get().partitionId(), Counter()
         for name, ids in document_ids(batches, tokenizer_path, end_id):
             for s in range(0, len(ids), max_tokens):
                 part = ids[s : s + max_tokens].astype("<u4")
-                rows.append((name, s, len(part), zlib.crc32(part), len(ids), part.tobytes() if with_ids else None))
+                crc = zlib.crc32(part)
+                like = hash((name, s, crc)) & 0xFFFF
+                rows.append((name, s, len(part), crc, len(ids), part.tobytes() if with_ids else None, task << 32 | seen[like]))
+                seen[like] += 1
             if len(rows) >= 4096:
                 yield batch(rows)
                 rows = []
@@ -167,12 +177,12 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: i
         release()
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 5 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds, strict=True)], names=[*columns, "salt"])
 
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
+    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, salt long")
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "salt"), F.lit(groups)).cast("long")).drop("salt")
 
     def fill(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])

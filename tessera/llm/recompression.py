@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import Exchange, blocked, deltas, expand, shard_runs, squeeze, sums, table_bytes
+from .blocks import Exchange, blocked, deltas, expand, shard_runs, sized, squeeze, sums, table_bytes
 from .carry import REST, packed, unpacked
 from .textkit import U, WORD_BASE, chunks, mix, windows
 
@@ -176,8 +176,8 @@ def told(answers) -> np.ndarray:
 def recompression_dedup(docs: DataFrame, size: int = 35, rounds: int = 3, block_bytes: int = 3 << 19, shard_bytes: int = 4 << 20, kept: bool = False, columns: list[str] | None = None) -> DataFrame:
     """For each row of docs (doc_id, text, columns): n_words, n_removed, kept_sha256 and, if asked for, kept: the words that remain."""
     extra = columns or []
-    blocks, _ = blocked(docs.select("doc_id", "text", packed(extra)), [REST], block_bytes)
-    exchange = Exchange(blocks, max(64, math.ceil(table_bytes(docs) / shard_bytes)))
+    blocks, _ = blocked(docs.select("doc_id", "text", packed(extra)), [REST], sized(docs, block_bytes))
+    exchange = Exchange(blocks, max(64, math.ceil(table_bytes(docs) / sized(docs, shard_bytes))), table_bytes(docs))
     shards = exchange.shards
 
     def ask_signs(table, answers, state):

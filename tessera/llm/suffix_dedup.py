@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import Exchange, blocked, deltas, expand, shard_runs, squeeze, sums, table_bytes
+from .blocks import Exchange, blocked, deltas, expand, shard_runs, sized, squeeze, sums, table_bytes
 from .carry import REST, packed, unpacked
 from .textkit import BYTE_BASE, BYTE_VALUE, U, chunks, mix, prefix_sums, span_hash, windows
 
@@ -224,9 +224,9 @@ def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10
     if size % step:
         raise ValueError("size must be a multiple of step")
     extra = columns or []
-    blocks, _ = blocked(docs.select("doc_id", "text", packed(extra)), [REST], block_bytes)
-    shards = max(64, math.ceil(table_bytes(docs) / shard_bytes))
-    exchange = Exchange(blocks, shards)
+    blocks, _ = blocked(docs.select("doc_id", "text", packed(extra)), [REST], sized(docs, block_bytes))
+    shards = max(64, math.ceil(table_bytes(docs) / sized(docs, shard_bytes)))
+    exchange = Exchange(blocks, shards, table_bytes(docs))
 
     def keys_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(hashes >> KEY_SHIFT, return_inverse=True)

@@ -1,5 +1,6 @@
 """Each training-data operator against brute force on small fixtures, and the odd cases they all must take."""
 
+import functools
 import hashlib
 import itertools
 import math
@@ -108,10 +109,14 @@ def test_measures_of_a_sample(spark):
 # classifier
 
 
+def symbol_of(c):
+    return int(kneser_ney.FOLD[ord(c)]) if ord(c) < 128 else 64 + ord(c) % (2**15 - 64)
+
+
 def brute_kneser_ney(texts, order):
     """Log-probability of each n-gram, from plain dictionaries."""
-    fold, m = kneser_ney.FOLD, kneser_ney.SYMBOLS
-    seqs = [[kneser_ney.NEWLINE] * (order - 1) + [int(fold[b]) for b in t.encode()] for t in texts]
+    m = kneser_ney.SYMBOLS
+    seqs = [[kneser_ney.NEWLINE] * (order - 1) + [symbol_of(c) for c in t] for t in texts]
     levels = {order: Counter(tuple(s[i : i + order]) for s in seqs for i in range(len(s) - order + 1))}
     for n in range(order - 1, 0, -1):
         levels[n] = Counter(g[1:] for g in levels[n + 1])
@@ -122,7 +127,7 @@ def brute_kneser_ney(texts, order):
         c = levels[len(g)]
         n1, n2, n3, n4 = (max(1, sum(v == k for v in c.values())) for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2)
-        d = [max(0.0, min(i, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        d = [max(0.1, min(i, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         disc = lambda v: d[min(v, 3) - 1] if v else 0
         own = {k: v for k, v in c.items() if k[:-1] == g[:-1]}
         total = sum(own.values())
@@ -141,10 +146,51 @@ def test_kneser_ney_probabilities(spark):
     got = {r.gram: r.logp for r in kneser_ney.log_probabilities(kneser_ney.gram_counts(asked, 3).select("gram"), counts, 3).collect()}
     p = brute_kneser_ney(texts, 3)
     for g, logp in got.items():
-        symbols = (g >> 12 & 63, g >> 6 & 63, g & 63)
-        assert abs(logp - math.log(p(symbols))) < 1e-9
+        low = 2**15 - 1
+        assert abs(logp - math.log(p((g >> 30 & low, g >> 15 & low, g & low)))) < 1e-9
     # probabilities after a context add up to one
-    assert abs(sum(p((1, 2, s)) for s in range(64)) - 1) < 1e-9
+    used = {symbol_of(x) for t in texts for x in t} | {kneser_ney.NEWLINE}
+    assert abs(sum(p((1, 2, s)) for s in used) + (2**15 - len(used)) * p((1, 2, 2**15 - 1)) - 1) < 1e-9
+
+
+def test_symbols_see_all_scripts():
+    import pyarrow as pa
+
+    texts = ["aZ9 é", "中文 текст", None, "", "😀x", "ελ\n"]
+    for c in textkit.chunks(pa.array(texts)):
+        got, offsets = kneser_ney.symbols(c)
+        for i, t in enumerate(texts):
+            assert got[offsets[i] : offsets[i + 1]].tolist() == [symbol_of(x) for x in t or ""]
+
+
+def test_perplexity_and_verdicts(spark):
+    """Each document's perplexity, deviation and verdict against plain dictionaries, one language in a script of its own."""
+    rng = random.Random(12)
+    write = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    parts = {"en": ["ba", "ne", "ti", "lo"], "ru": ["мо", "ре", "та", "ки"], "zh": ["中", "文", "山", "水", "天"]}
+    rows = [(i, write(parts[g := rng.choice(sorted(parts))], rng.randint(3, 40)), g) for i in range(240)]
+    # the same letters in another order, and another script under this one's name
+    rows += [(900 + i, write(["оы", "тк", "рм"], 40), "ru") for i in range(4)] + [(950 + i, write(parts["ru"], 40), "zh") for i in range(4)] + [(980, None, "ru"), (981, "", "zh"), (982, write(parts["zh"], 20), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    trusted = spark.createDataFrame([(i,) for i in range(200)], "doc_id long")
+    counted = {r.doc_id for r in trusted.where(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(2)) == 0).collect()}
+    got = {r.doc_id: r for r in kneser_ney.quality_classifier(docs, trusted, order=3, least_docs=20).collect()}
+    p = functools.cache(brute_kneser_ney([t for i, t, _ in rows if i in counted], 3))
+    mean = {}
+    for i, t, _ in rows:
+        s = [kneser_ney.NEWLINE] * 2 + [symbol_of(c) for c in t or ""]
+        mean[i] = math.fsum(math.log(p(tuple(s[j : j + 3]))) for j in range(len(s) - 2)) / len(t) if t else None
+    for i, t, g in rows:
+        if not t:
+            assert not got[i].kept and got[i].perplexity is None and got[i].n_chars_scored == 0
+            continue
+        assert got[i].n_chars_scored == len(t) and abs(math.log(got[i].perplexity) + mean[i]) < 1e-9
+        calm = [(mean[j], len(u)) for j, u, h in rows if j < 200 and j not in counted and g in (h, None)]
+        mu = float(np.median([a for a, _ in calm]))
+        low, high = np.quantile([(a - mu) * math.sqrt(n) for a, n in calm], [0.005, 0.995]) * 1.75
+        z = (mean[i] - mu) * math.sqrt(len(t))
+        assert abs(got[i].deviation - z) < 1e-6 and got[i].kept == (low <= z <= high)
+    assert not any(got[i].kept for i in (*range(900, 904), *range(950, 954)))
 
 
 def test_classifier(spark):
@@ -614,3 +660,38 @@ def test_all_null_and_clashing_columns(spark, name):
     for c in ("block", "shard", "n", "m", "kept", "size", "rank", "value", "component", "hash", "grp", "licence", "above", "directory", "copies", "doc", "__n"):
         d = d.withColumn(c, F.lit(7))
     assert RUNS[name](d).count() == 4
+
+
+@pytest.mark.parametrize("name", ["near", "suffix", "words", "classifier"])
+def test_carried_columns_named_like_results(spark, name):
+    """They come out beside the results, with `_in` after their names."""
+    rows = [(1, "a b c d e f", "en", "a", 1), (2, None, None, None, None), (2, "a b c d e f", "en", "b", 3)]
+    names = ["n", "component", "component_id", "kept", "kept_in", "n_bytes", "n_words", "n_removed", "doc_id", "n_shingles", "perplexity", "Kept"]
+    d = frame(spark, rows)
+    for i, c in enumerate(names[:-1]):
+        d = d.withColumn(c, F.lit(i)) if c != "doc_id" else d
+    run = {
+        "near": lambda c: minhash.near_duplicates(d, columns=c),
+        "suffix": lambda c: suffix_dedup.suffix_dedup(d, columns=c),
+        "words": lambda c: recompression.recompression_dedup(d, columns=c),
+        "classifier": lambda c: kneser_ney.quality_classifier(d, d.select("doc_id"), columns=c),
+    }[name]
+    out = run(names[:-1])
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    got = out.collect()
+    assert len(got) == 3
+    for r in got:
+        assert r["component"] == 1 and r["n"] == 0
+        assert sorted(v for c, v in r.asDict().items() if c.startswith("kept") and isinstance(v, int) and not isinstance(v, bool)) == [3, 4]
+
+
+def test_equal_rows_fill_no_block(spark):
+    """A third of all rows alike, ids null: they go to many blocks, groups of packing and tasks."""
+    rows = [(None, "the same words again and again", "en", "a", 1)] * 2000 + [(i, f"row {i} " * 5, "en", "a", 1) for i in range(1000)]
+    d = frame(spark, rows)
+    from tessera.llm.blocks import blocked
+
+    most = blocked(d.select("doc_id", "text"), [], 1000)[0].groupBy("__block").count().agg(F.max("count")).first()[0]
+    assert most < 500
+    out = packing.pack(d, packing.vocabulary(), group_pieces=100).withColumn("grp", F.shiftright("sequence_id", 32))
+    assert out.count() == 3000 and out.groupBy("grp").count().agg(F.max("count")).first()[0] < 400
