@@ -14,16 +14,22 @@ from tessera.llm.kneser_ney import quality_classifier, trusted_ids
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mixed
 from tessera.llm.packing import pack, vocabulary
-from tessera.llm.session import cut, stored
+from tessera.llm.session import cut, discard, written
 from tessera.llm.suffix_dedup import suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    scored = quality_classifier(docs.select(*COLUMNS), trusted_ids(spark, sf_dir), columns=COLUMNS)
-    return scored.where("kept").select(*COLUMNS)
+    """Documents that the quality classifier keeps.
+
+    Its verdict is one of id, text and language: keys of these go with the scores, the texts stay where they are until then.
+    """
+    keys = ["__k1", "__k2"]
+    parts = ["doc_id", "text", "lang"]
+    named = docs.select(*COLUMNS, F.xxhash64(*parts).alias(keys[0]), F.xxhash64(F.lit(1), *parts).alias(keys[1]))
+    scored = quality_classifier(named, trusted_ids(spark, sf_dir), columns=keys)
+    return named.join(scored.where("kept").select(*keys).distinct(), keys, "left_semi").select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +54,17 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in its shards and their order."""
-    out = mixed(docs.select(*COLUMNS)).where("copies > 0")
-    drawn = out.select("__row", "place", F.explode("shards").alias("shard"))
-    return drawn.sortWithinPartitions("shard", "place").select("__row.*").select(*COLUMNS)
+    """Documents as often as the mix takes them, each shard of the mix in one part and shuffled there.
+
+    The mix works on keys, two hashes of the row; equal rows share what their keys are drawn.
+    """
+    keys = ["__k1", "__k2"]
+    named = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias(keys[0]), F.xxhash64(F.lit(1), *COLUMNS).alias(keys[1]))
+    out = mixed(named, carry=keys).where("copies > 0")
+    drawn = cut(out.select("__row.*", "place", F.explode("shards").alias("shard")))
+    texts = named.dropDuplicates(keys).join(drawn, keys)
+    shards = max(1, drawn.select("shard").distinct().count())
+    return texts.repartition(shards, "shard").sortWithinPartitions("shard", "place").select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage; a stage's table goes when the next one's is written, only the last that is read stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        path = written(stage(spark, docs, sf_dir))
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
