@@ -114,6 +114,12 @@ def deltas(ascending: np.ndarray) -> np.ndarray:
     return d
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in a type as narrow as they allow."""
+    most = int(values.max()) if len(values) else 0
+    return values.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max))
+
+
 def sums(d: np.ndarray) -> np.ndarray:
     return np.cumsum(d.astype(np.uint64), dtype=np.uint64)
 
@@ -152,10 +158,17 @@ class Exchange:
     def dealt(self, df: DataFrame, key: str) -> DataFrame:
         return df.repartition(self.parts, key) if self.parts else df
 
-    def round(self, ask: Callable, reduce: Callable, table: DataFrame | None = None) -> None:
-        """table: rows with a column `shard` that meet the shard's messages; reduce then gets them as a second argument."""
+    def round(self, ask: Callable, reduce: Callable, table: DataFrame | None = None, with_texts: bool = True) -> None:
+        """with_texts: blocks see their rows again, else they ask from their state and answers only.  table: rows with a column `shard` that meet the shard's messages; reduce then gets them as a second argument."""
         shards = self.shards
 
+        def alone(back: pa.Table) -> pa.Table:
+            answers, state = received(back)
+            block = back["block"][0].as_py()
+            sent = _send(block, [((block % shards) | STATE if s is None else s, b) for s, b in ask(None, answers, state)])
+            release()
+            return sent
+
         def addressed(table: pa.Table, back: pa.Table | None) -> pa.Table:
             if not table.num_rows:
                 return _send(0, [])
@@ -179,6 +192,8 @@ class Exchange:
 
         if self.answers is None:
             sent = self.blocks.groupBy(BLOCK).applyInArrow(lambda table: addressed(table, None), MESSAGE)
+        elif not with_texts:
+            sent = self.dealt(self.answers, "block").groupBy("block").applyInArrow(lambda back: alone(back), MESSAGE)
         else:
             sent = self.blocks.groupBy(BLOCK).cogroup(self.dealt(self.answers, "block").groupBy("block")).applyInArrow(addressed, MESSAGE)
         own = self.dealt(sent, "shard").groupBy("shard")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Exchange, blocked, deltas, expand, shard_runs, sized, squeeze, sums, table_bytes
+from .blocks import Exchange, blocked, deltas, expand, narrow, shard_runs, sized, squeeze, sums, table_bytes
 from .textkit import U, WORD, WORD_BASE, chunks, mix, windows
 
 #: n-gram hashes go without their lowest bits, to be shorter messages.
@@ -139,11 +139,6 @@ def lm_scoring(docs: DataFrame, order: int = 3, least: int = 2, backoff: float =
     return exchange.finish(score, "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
-def narrow(values: np.ndarray) -> np.ndarray:
-    most = int(values.max()) if len(values) else 0
-    return values.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max))
-
-
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm_scoring(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})

@@ -7,13 +7,13 @@ with a smaller doc_id.  All occurrences of such a string must meet in one shard:
    the window's anchor, so equal windows have equal anchors.  Blocks ask the
    shards which anchors other documents have too.
 2. For those, blocks send the text that the anchor's windows cover, each different
-   text once with its least doc_id.  A shard makes the Burrows-Wheeler transform
-   of each half of the texts and merges the two: the interleave of their suffixes
-   starts unsorted and is refined by `step` bytes at a time, by the symbols before
-   each suffix, until it is in order by the first `size` bytes.  The blocks that
-   the refinement has opened are the repeated intervals (common prefix of `size`
-   bytes or more), and each gives its least doc_id back.  Suffixes of the halves
-   are never sorted again.
+   text once with its least doc_id.  A shard makes the Burrows-Wheeler transform of
+   the texts of each half of the corpus (blocks of even and of odd number) and merges
+   the two: the interleave of their suffixes starts unsorted and is refined `step`
+   bytes at a time by counting over the transforms' symbols, until it is in order by
+   the first `size` bytes.  The refinement that parts two neighbours tells their
+   common prefix; intervals with one of `size` bytes are the repeated ones, and each
+   gives its least doc_id back.  Suffixes are not sorted or compared in the merge.
 3. The block removes the bytes that the answers cover.
 
 Texts are whole; null texts are empty; texts under `size` bytes keep everything.
@@ -148,43 +148,57 @@ class Rotations:
         return rank
 
 
-def merged_intervals(data: np.ndarray, lengths: np.ndarray, half: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rotations, the interval of each): the two halves' transforms, merged.
-
-    half: for each text 0 or 1.  A shard's transform holds the `step` bytes before
-    each of its rotations in their order.  The interleave says only which half the
-    next rotation comes from; each refinement sorts it by the transform's symbols,
-    which orders it by `step` bytes more.
-    """
+def transform(data: np.ndarray, lengths: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of one corpus shard's rotations in order by `size` bytes, its transform: the `step` bytes before each)."""
     r = Rotations(data, lengths)
-    symbol = r.first_rank(step)
-    before = symbol[r.later(-step)]
+    places = np.argsort(r.first_rank(size), kind="stable")
+    before = np.zeros(len(data), np.uint16)
+    for i in range(step, 0, -1):
+        before = before << np.uint16(8) | data[r.later(-i)]
+    return places, before[places]
+
+
+def interleave(first: np.ndarray, second: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each rotation of the merged order is the second's, its common prefix with the one before, down to `step` bytes) from two transforms.
+
+    The interleave says only whose rotation comes next, and starts unsorted.  Each
+    refinement deals its places to the symbols of the transforms, which keeps their order
+    within a symbol: a counting sort of 16-bit symbols.  That orders the rotations `step`
+    bytes further on by those bytes as well; no rotation is compared or sorted again.  A
+    border between two places, once it is there, stays where it is, and the refinement
+    that brings it tells the length of the common prefix; `size` means that or more.
+    """
+    n = len(first) + len(second)
+    z = np.zeros(n, bool)
+    z[len(first) :] = True
+    block, common = np.zeros(n, np.uint32), np.full(n, size, np.uint16)
+    common[:1] = 0
+    symbol = np.empty(n, np.uint16)
+    for k in range(size // step):
+        symbol[~z], symbol[z] = first, second
+        order = np.argsort(symbol, kind="stable")
+        c, old, z = symbol[order], block[order], z[order]
+        border = np.empty(n, bool)
+        border[:1] = False
+        border[1:] = (c[1:] != c[:-1]) | (old[1:] != old[:-1])
+        common[border & (common == size)] = k * step
+        block = np.cumsum(border, dtype=np.uint32)
+    return z, common
+
+
+def merged_intervals(data: np.ndarray, lengths: np.ndarray, half: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rotations in merged order, their common prefixes): the two halves' transforms, merged.  half: for each text 0 or 1."""
     side = np.repeat(half, lengths)
-    transform, places = [], []
+    places, parts = [], []
     for s in (0, 1):
         own = np.flatnonzero(side == s)
-        if len(own):
-            part = Rotations(data[own], lengths[half == s])
-            own = own[np.argsort(part.longer(symbol[own], step, size))]
-        places.append(own)
-        transform.append(before[own])
-    n = len(data)
-    z = np.zeros(n, bool)
-    z[len(places[0]) :] = True
-    interval = np.zeros(n, np.uint32)
-    index = np.arange(n, dtype=np.uint64)
-    for _ in range(size // step):
-        key = np.empty(n, np.uint64)
-        key[~z], key[z] = transform[0], transform[1]
-        key = key << U(32) | index
-        key.sort()
-        order = key.astype(np.uint32)
-        c = (key >> U(32)).astype(np.uint32)
-        z, old = z[order], interval[order]
-        interval = np.cumsum(np.concatenate([[False], (c[1:] != c[:-1]) | (old[1:] != old[:-1])]), dtype=np.uint32)
-    rotations = np.empty(n, np.int64)
-    rotations[~z], rotations[z] = places[0], places[1]
-    return rotations, interval
+        at, symbols = transform(data[own], lengths[half == s], size, step) if len(own) else (own, np.empty(0, np.uint16))
+        places.append(own[at])
+        parts.append(symbols)
+    z, common = interleave(*parts, size, step)
+    rotations = np.empty(len(data), np.int64)
+    rotations[~z], rotations[z] = places
+    return rotations, common
 
 
 def least_docs(data: np.ndarray, lengths: np.ndarray, docs: np.ndarray, half: np.ndarray, size: int, step: int) -> np.ndarray:
@@ -193,12 +207,13 @@ def least_docs(data: np.ndarray, lengths: np.ndarray, docs: np.ndarray, half: np
     at = gather(begin, lengths - size + 1)
     if not len(data):
         return at
-    rotations, interval = merged_intervals(data, lengths, half, size, step)
+    rotations, common = merged_intervals(data, lengths, half, size, step)
     # rotations that run over a text's end are no windows
     own = np.full(len(data), NEVER)
     own[at] = np.repeat(docs, lengths - size + 1)
-    edges = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
-    least = np.minimum.reduceat(own[rotations], edges)[interval]
+    # a repeated interval: places with a common prefix of `size` bytes
+    edges = np.flatnonzero(common < size)
+    least = np.repeat(np.minimum.reduceat(own[rotations], edges), np.diff(np.append(edges, len(common))))
     own[rotations] = least
     return own[at]
 
@@ -219,10 +234,10 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], ends[:-1]]), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 10, block_bytes: int = 1 << 20, shard_bytes: int = 2 << 20, kept: bool = False, columns: list[str] | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, size: int = 50, gram: int = 20, step: int = 2, block_bytes: int = 1 << 20, shard_bytes: int = 2 << 20, kept: bool = False, columns: list[str] | None = None) -> DataFrame:
     """For each row of docs (doc_id, text, columns): n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: what remains, without parts of characters."""
-    if size % step:
-        raise ValueError("size must be a multiple of step")
+    if size % step or step not in (1, 2):
+        raise ValueError("step must be 1 or 2 bytes and divide size")
     extra = columns or []
     blocks, _ = blocked(docs.select("doc_id", "text", packed(extra)), [REST], sized(docs, block_bytes))
     shards = max(64, math.ceil(table_bytes(docs) / sized(docs, shard_bytes)))
