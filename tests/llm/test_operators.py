@@ -526,9 +526,51 @@ def test_license_scan(spark):
 
 
 def test_license_templates_match_themselves(spark):
-    df = spark.createDataFrame([(i, f"f/{i}", f"intro words\n{t} And more.") for i, t in enumerate(license_scan.TEMPLATES.values())], "key long, path string, text string")
+    texts = [(n, x) for n, ts in sorted(license_scan.TEMPLATES.items()) for x in ts]
+    df = spark.createDataFrame([(i, f"f/{i}", f"intro words\n\n{x}\n\nAnd more.") for i, (_, x) in enumerate(texts)], "key long, path string, text string")
     got = {r.key: r.own_licence for r in license_scan.license_scan(df).collect()}
-    assert [got[i] for i in range(len(got))] == list(license_scan.TEMPLATES)
+    assert [got[i] for i in range(len(got))] == [n for n, _ in texts]
+
+
+def test_license_texts_in_files(spark):
+    """Headers over several lines, whole licence files, SPDX lines, closing notices; inheritance from all of them, none from the middle of a text."""
+    wrap = lambda t, lead: "\n".join(lead + " ".join(t.split(" ")[i : i + 9]) for i in range(0, len(t.split(" ")), 9))
+    prose = "Some words about other things. " * 6
+    rows = [
+        ("a/x.c", "/*\n" + wrap(license_scan.APACHE_HEADER, " * ") + "\n */\n\n" + prose),
+        ("a/y.c", prose),
+        ("b/LICENSE", "MIT License\n\nCopyright (c) 2020 Some Person\n\n" + wrap(license_scan.MIT_BODY, "")),
+        ("b/c/d.py", prose),
+        ("d/e.go", "// Copyright 2009 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\n" + prose),
+        ("e/f.rs", "// SPDX-License-Identifier: MPL-2.0\n" + prose),
+        ("g/h.txt", prose + "Licensed under CC BY-SA 4.0."),
+        ("g/i/j.txt", prose),
+        ("k/l.txt", prose + "Licensed under CC BY 4.0. " + prose),
+        ("k/m.txt", prose),
+        ("n/o.txt", "Permission to land was given by the tower. The copyright of songs is a matter of law."),
+        ("p/NOTICE.txt", prose + "Licensed under CC BY 4.0. " + prose),
+        ("p/q.txt", prose),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "key long, path string, text string")
+    got = {r.path: (r.own_licence, r.licence, r.inherited_from) for r in license_scan.license_scan(df).collect()}
+    own = {"a/x.c": "Apache-2.0", "b/LICENSE": "MIT", "d/e.go": "BSD-3-Clause", "e/f.rs": "MPL-2.0", "g/h.txt": "CC-BY-SA-4.0", "k/l.txt": "CC-BY-4.0", "p/NOTICE.txt": "CC-BY-4.0"}
+    assert {p: g[0] for p, g in got.items() if g[0]} == own
+    assert got["a/y.c"] == (None, "Apache-2.0", "a") and got["b/c/d.py"] == (None, "MIT", "b") and got["g/i/j.txt"] == (None, "CC-BY-SA-4.0", "g")
+    assert got["p/q.txt"] == (None, "CC-BY-4.0", "p") and got["k/m.txt"] == got["n/o.txt"] == (None, None, None)
+
+
+def test_anchors_are_an_exact_filter():
+    """No unit reaches the threshold by a template's other terms alone, whatever its weights."""
+    rows, _ = license_scan.template_weights(license_scan.TEMPLATES)
+    marks = set(license_scan.anchors(rows, 0.7))
+    for number in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == number]
+        assert marks & {r[2] for r in own} and math.sqrt(sum(r[4] ** 2 for r in own if r[2] not in marks)) < 0.7
+
+
+def test_rows_of_the_query_inherit(spark):
+    out = license_scan.op8_license_scan(spark, "/root/testdata/sf0.01")
+    assert out.where("own_licence is null and inherited_from is not null").count() > 0
 
 
 # search
