@@ -9,6 +9,8 @@ from .session import cut
 
 #: Share of the edges, as its inverse, from which on a node is a hub.
 HUBS = 1000
+#: Edges that a task takes on.
+EDGES_A_TASK = 200_000
 
 
 def with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
@@ -40,12 +42,15 @@ def connected(edges: DataFrame, most: int = 60) -> DataFrame:
             break
         seen = state
         hub = max(1, 2 * state[0] // HUBS)
+        # few edges need few tasks: each shuffle leaves files for each of them
+        tasks = 1 + state[0] // EDGES_A_TASK
+        e = e.coalesce(tasks)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
-        large = with_least(both, least, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_least(both, least, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
         small = with_least(large, least, hub).where("v <> m").select("v", "m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
