@@ -117,7 +117,7 @@ def doubled(least: int, want: float, most: int) -> int:
     return min(most, least << max(0, math.ceil(math.log2(max(1.0, want / least)))))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, blocks: int = 1024, levels: int = 4, seed: int = 29, carry: list[str] | None = None, block_docs: int = 512, shard_docs: int = 1 << 20) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, blocks: int = 1024, levels: int = 4, seed: int = 29, carry: list[str] | None = None, block_docs: int = 512, shard_docs: int = 1 << 13) -> DataFrame:
     """__row (a struct of the columns in carry, all if None) for each row of docs (source, text, ...), with size, source_size,
     target, copies, shards: the output shards its copies go to, and place: its order in a shard.
 
