@@ -11,7 +11,10 @@ then paragraphs, by their place, by name).
 A unit can only reach the threshold if the terms it shares with a template hold
 threshold**2 of the template's squared norm.  So of each template the commonest terms
 that hold less than that together may be left aside, and a unit without any of the
-others, the `anchors`, is not scored: an exact filter.
+others, the `anchors`, is not scored: an exact filter.  Nor can it if less than
+threshold**2 of its own squared norm is on terms of templates at all; as (1 + ln tf)**2
+is at most 1.48 tf and no term weighs more than an unknown one, counting them tells
+(`mostly_known`).
 
 A file speaks for its directory if it is named like a licence file or declares its
 licence at its edge, in one of its first or last `edge` units of that kind: headers and
@@ -149,6 +152,13 @@ def anchors(rows: list[tuple[str, int, str, float, float]], threshold: float) ->
     return sorted(out)
 
 
+def mostly_known(words: Column, vocabulary: list[str], threshold: float) -> Column:
+    """Whether the words of templates can hold threshold**2 of the squared norm: false only where they cannot."""
+    known = F.size(F.filter(words, lambda x: x.isin(vocabulary)))
+    others = F.size(F.array_except(words, F.array(*[F.lit(x) for x in vocabulary])))
+    return (1 - threshold * threshold) * 1.48 * known >= threshold * threshold * others
+
+
 def units(files: DataFrame) -> DataFrame:
     """(key, file, kind, of, pos, unit) of files (key, file, text), of being the number of units of that kind."""
     text = F.col("text")
@@ -170,7 +180,7 @@ def declared(files: DataFrame, templates: dict[str, tuple[str, ...]], threshold:
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     told = units(files.where(F.arrays_overlap(words("text"), marks)).select("key", name.alias("file"), "text"))
     own = ["key", "kind", "pos"]
-    said = told.select(*own, "file", "of", words("unit").alias("w")).where(F.arrays_overlap("w", marks))
+    said = told.select(*own, "file", "of", words("unit").alias("w")).where(F.arrays_overlap("w", marks) & mostly_known(F.col("w"), sorted({r[2] for r in rows}), threshold))
     tf = said.select(*own, "file", "of", F.explode("w").alias("term")).groupBy(*own, "term").agg(F.count("*").alias("tf"), F.first("file").alias("file"), F.first("of").alias("of")).join(idf, "term", "left")
     tf = tf.withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(other))).drop("idf")
     tf = tf.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*own))))

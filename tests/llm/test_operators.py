@@ -568,6 +568,22 @@ def test_anchors_are_an_exact_filter():
         assert marks & {r[2] for r in own} and math.sqrt(sum(r[4] ** 2 for r in own if r[2] not in marks)) < 0.7
 
 
+def test_units_of_other_words_cannot_reach_the_threshold(spark):
+    """The count of known words leaves out only units whose cosine to everything is below the threshold."""
+    rng = random.Random(3)
+    rows, other = license_scan.template_weights(license_scan.TEMPLATES)
+    idf = {r[2]: r[3] for r in rows}
+    vocabulary = sorted(idf)
+    bags = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 12))] * rng.randint(1, 3) + [f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 30))] for _ in range(300)]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bags)], "i int, w array<string>")
+    passed = {r.i for r in df.where(license_scan.mostly_known(F.col("w"), vocabulary, 0.7)).collect()}
+    assert 20 < len(passed) < 280
+    for i, b in enumerate(bags):
+        weight = {x: (1 + math.log(b.count(x))) * idf.get(x, other) for x in set(b)}
+        share = sum(v * v for x, v in weight.items() if x in idf) / sum(v * v for v in weight.values())
+        assert i in passed or share < 0.49
+
+
 def test_rows_of_the_query_inherit(spark):
     out = license_scan.op8_license_scan(spark, "/root/testdata/sf0.01")
     assert out.where("own_licence is null and inherited_from is not null").count() > 0
