@@ -13,7 +13,9 @@ the distance bounds the score from above.
 2. Vectors are dealt to blocks by the nearest of at most `PIVOTS` sample vectors,
    full pivots to several blocks.  Before any vector is sent, the blocks' summaries
    (least and greatest statistics) bound the scores of a query with a whole block;
-   only blocks of queries and candidates with a pair left in reach meet.
+   only blocks of queries and candidates with a pair left in reach meet.  Small blocks
+   of neighbouring pivots travel in one bundle: a bundle of queries and one of
+   candidates meet once, with those of their blocks that reach one of the other's.
 3. There candidates whose bound is below a query's threshold go, coarse statistics
    first, finer ones for what is left, and the survivors alone get exact integer
    products; the thresholds rise as better ones are found.  A block's k best ids of
@@ -146,6 +148,16 @@ def arrays(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {n: (ids[on], v) for n, (on, v) in by_length(table).items()}
 
 
+def neighbours(x: np.ndarray) -> np.ndarray:
+    """An order of rows in which near ones are near: halves along the main axis, again and again."""
+    if len(x) <= 2:
+        return np.arange(len(x))
+    f = x - x.mean(axis=0)
+    order = np.argsort(f @ np.linalg.svd(f, full_matrices=False)[2][0], kind="stable")
+    half = len(x) // 2
+    return np.concatenate([order[:half][neighbours(x[order[:half]])], order[half:][neighbours(x[order[half:]])]])
+
+
 class Guide:
     """What a bounded sample of the candidates tells: for each length of vectors its members, an energy-ordered basis, and pivots."""
 
@@ -159,7 +171,7 @@ class Guide:
             f = v.astype(np.float64)
             if n > 1 and len(f) >= 2 * n:
                 self.basis[n] = np.linalg.eigh(f.T @ f)[1][:, ::-1].copy()
-            self.pivots[n] = f[:pivots]
+            self.pivots[n] = f[:pivots][neighbours(f[:pivots])] if n else f[:pivots]
 
     def pivot(self, v: np.ndarray) -> np.ndarray:
         """The nearest pivot of each vector."""
@@ -194,7 +206,7 @@ class Guide:
 def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = 1024, candidate_rows: int = 2048, sample_values: int = 1 << 18, with_scored: bool = False) -> DataFrame:
     """query_id, rank, vec_id and score: the k highest inner products of each of queries (id, v) with vectors (id, v).
 
-    with_scored: in place of the result, for each pair of blocks that met, its pairs of vectors (met) and how many of them were scored.
+    with_scored: in place of the result, for each pair of bundles that met, its pairs of vectors (met) and how many of them were scored.
     """
     spark = vectors.sparkSession
     queries, vectors = queries.select("id", "v").distinct(), vectors.select("id", "v").distinct()
@@ -213,27 +225,31 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists, pa.array(np.full(len(ids), n), pa.int32()), pa.array(p, pa.int32())], names=["id", "v", "n", "pivot"])
 
     def blocks(df: DataFrame, most: int) -> DataFrame:
-        """id, v, n and block: about `most` vectors near one pivot."""
+        """id, v, n, block and bundle: blocks of at most about `most` vectors near one pivot, in bundles of at most about twice as many."""
         placed = df.mapInArrow(place, "id long, v array<long>, n int, pivot int")
-        parts = placed.groupBy("n", "pivot").agg(F.ceil(F.count("*") / most).alias("parts"))
+        # a window of at most PIVOTS rows
+        before = F.sum(F.when(F.col("rows") < most, F.col("rows")).otherwise(0)).over(Window.partitionBy("n").orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1))
+        sizes = placed.groupBy("n", "pivot").agg(F.count("*").alias("rows"))
+        parts = sizes.select("n", "pivot", F.ceil(F.col("rows") / most).alias("parts"), F.when(F.col("rows") < most, F.floor(F.coalesce(before, F.lit(0)) / most)).alias("run"))
         dealt = placed.join(parts, ["n", "pivot"]).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")))
-        return dealt.select("id", "v", "n", F.xxhash64("n", "pivot", "part").alias("block"))
+        block = F.xxhash64("n", "pivot", "part")
+        return dealt.select("id", "v", "n", block.alias("block"), F.when(F.col("run").isNull(), block).otherwise(F.xxhash64("n", "run")).alias("bundle"))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t, out = pa.Table.from_batches([b]), []
-            blocks_ = t["block"].to_numpy()
+            blocks_, bundles = t["block"].to_numpy(), t["bundle"].to_numpy()
             for n, (on, v) in by_length(t).items():
                 s = known.value.summary(v)
                 order = np.argsort(blocks_[on], kind="stable")
-                own = blocks_[on][order]
+                own, bundle = blocks_[on][order], bundles[on][order]
                 edges = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                out += [(int(k), n, x.tolist(), y.tolist()) for k, x, y in zip(own[edges], np.minimum.reduceat(s[order], edges), np.maximum.reduceat(s[order], edges), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), *[pa.array([r[i] for r in out], pa.list_(pa.float64())) for i in (2, 3)]], names=["block", "n", "low", "high"])
+                out += [(int(k), n, int(w), x.tolist(), y.tolist()) for k, w, x, y in zip(own[edges], bundle[edges], np.minimum.reduceat(s[order], edges), np.maximum.reduceat(s[order], edges), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64()), *[pa.array([r[i] for r in out], pa.list_(pa.float64())) for i in (3, 4)]], names=["block", "n", "bundle", "low", "high"])
 
     def merged(key: tuple, table: pa.Table) -> pa.Table:
         low, high = (np.array(table[c].to_pylist()) for c in ("low", "high"))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([key[1].as_py()], pa.int32()), "low": pa.array([low.min(axis=0).tolist()], pa.list_(pa.float64())), "high": pa.array([high.max(axis=0).tolist()], pa.list_(pa.float64()))})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([key[1].as_py()], pa.int32()), "bundle": pa.array([key[2].as_py()], pa.int64()), "low": pa.array([low.min(axis=0).tolist()], pa.list_(pa.float64())), "high": pa.array([high.max(axis=0).tolist()], pa.list_(pa.float64()))})
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,37 +257,38 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows:
             floors, ids = np.full(t.num_rows, -np.inf), t["id"].to_numpy()
             for on, v in by_length(t).values():
                 floors[on] = known.value.floors(ids[on], v, k)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(floors, pa.float64())], names=["id", "v", "n", "block", "floor"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(floors, pa.float64())], names=["id", "v", "n", "block", "bundle", "floor"])
 
-    c, q = blocks(vectors, candidate_rows), cut(blocks(queries, query_rows).mapInArrow(seeded, "id long, v array<long>, n int, block long, floor double"))
-    summaries = cut(c.mapInArrow(summed, "block long, n int, low array<double>, high array<double>").groupBy("block", "n").applyInArrow(merged, "block long, n int, low array<double>, high array<double>"))
+    c, q = blocks(vectors, candidate_rows), cut(blocks(queries, query_rows).mapInArrow(seeded, "id long, v array<long>, n int, block long, bundle long, floor double"))
+    summary = "block long, n int, bundle long, low array<double>, high array<double>"
+    summaries = cut(c.mapInArrow(summed, summary).groupBy("block", "n", "bundle").applyInArrow(merged, summary))
     # queries and summaries meet in a grid of cells; summaries are a thousandth of the candidates
     n_q, n_s = (max(1, math.ceil(x.count() / 4096)) for x in (q, summaries))
     cell = lambda df, n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
-    asked = q.select("id", "v", "n", "block", "floor", cell(q, n_q).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_s - 1))).alias("j"))
+    asked = q.select("id", "v", "n", "block", "bundle", "floor", cell(q, n_q).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_s - 1))).alias("j"))
     offered = summaries.select("*", cell(summaries, n_s).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("i"))
 
     def reach(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Pairs of blocks with a query and a candidate in reach."""
-        pairs: set[tuple[int, int]] = set()
+        """Pairs of blocks with a query and a candidate in reach, and their bundles."""
+        pairs: set[tuple[int, int, int, int]] = set()
         if left.num_rows and right.num_rows:
-            blocks_, floor = left["block"].to_numpy(), left["floor"].to_numpy()
+            blocks_, bundles, floor = left["block"].to_numpy(), left["bundle"].to_numpy(), left["floor"].to_numpy()
             lengths = right["n"].to_numpy()
             for n, (on, v) in by_length(left).items():
                 near = right.take(pa.array(np.flatnonzero(lengths == n)))
                 if not near.num_rows:
                     continue
-                sq, names = known.value.summary(v), near["block"].to_numpy()
+                sq, names, others = known.value.summary(v), near["block"].to_numpy(), near["bundle"].to_numpy()
                 low, high = (np.array(near[x].to_pylist()) for x in ("low", "high"))
                 slack = 1e-9 * (1 + (sq * sq).sum(axis=1).max() + np.maximum(low * low, high * high).sum(axis=1).max())
                 bound = np.maximum(sq, 0) @ high.T + np.minimum(sq, 0) @ low.T
                 rows, cols = np.nonzero(bound + slack >= floor[on][:, None])
-                pairs.update(zip(blocks_[on][rows].tolist(), names[cols].tolist(), strict=True))
-        return pa.table({"qb": pa.array([a for a, _ in pairs], pa.int64()), "cb": pa.array([b for _, b in pairs], pa.int64())})
+                pairs.update(zip(blocks_[on][rows].tolist(), names[cols].tolist(), bundles[on][rows].tolist(), others[cols].tolist(), strict=True))
+        return pa.table({x: pa.array([p[i] for p in pairs], pa.int64()) for i, x in enumerate(("qb", "cb", "i", "j"))})
 
-    cells = cut(asked.groupBy("i", "j").cogroup(offered.groupBy("i", "j")).applyInArrow(reach, "qb long, cb long").distinct())
-    left = q.withColumnRenamed("block", "qb").join(cells, "qb").select(F.col("qb").alias("i"), F.col("cb").alias("j"), "id", "v", "floor")
-    right = c.withColumnRenamed("block", "cb").join(cells, "cb").select(F.col("qb").alias("x"), F.col("cb").alias("y"), "id", "v")
+    cells = cut(asked.groupBy("i", "j").cogroup(offered.groupBy("i", "j")).applyInArrow(reach, "qb long, cb long, i long, j long").distinct())
+    left = q.withColumnRenamed("block", "qb").join(cells.select("qb", "i", "j").distinct(), "qb").select("i", "j", "id", "v", "floor")
+    right = c.withColumnRenamed("block", "cb").join(cells.select("cb", F.col("i").alias("x"), F.col("j").alias("y")).distinct(), "cb").select("x", "y", "id", "v")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         other, ids, floor = arrays(right), left["id"].to_numpy(), left["floor"].to_numpy()
