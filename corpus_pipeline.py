@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.graph import HUBS, with_least
 from tessera.llm.kneser_ney import quality_classifier, trusted_ids
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mixed
@@ -40,8 +41,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     node = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("node")
     found = near_duplicates(docs.select(node.alias("doc_id"), F.col("doc_id").alias("own"), "text"), columns=["own"])
     found = cut(found.where(F.col("doc_id").isNotNull()).select("own", F.col("doc_id").alias("node"), "component_id").distinct())
-    least = found.groupBy("component_id").agg(F.min(F.struct("own", "node")).alias("least"), F.count("*").alias("docs")).where("docs > 1").drop("docs")
-    gone = found.join(least, "component_id").where(F.struct("own", "node") != F.col("least")).select(F.col("own").alias("doc_id"), "node")
+    members = found.select(F.col("component_id").alias("u"), F.struct("own", "node").alias("v"))
+    least = members.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).where("degree > 1")
+    # a large component's least goes to its documents
+    gone = with_least(members, least, max(1, 2 * found.count() // HUBS)).where("v != m").select(F.col("v.own").alias("doc_id"), "v.node")
     named = docs.select(*COLUMNS, node).where(F.col("doc_id").isNotNull()).join(gone, ["doc_id", "node"], "left_anti").dropDuplicates(["doc_id", "node"])
     return named.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
 
