@@ -29,7 +29,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = ["__k1", "__k2"]
     parts = ["doc_id", "text", "lang"]
     named = docs.select(*COLUMNS, F.xxhash64(*parts).alias(keys[0]), F.xxhash64(F.lit(1), *parts).alias(keys[1]))
-    scored = quality_classifier(named, trusted_ids(spark, sf_dir), columns=keys)
+    scored = quality_classifier(named, trusted_ids(spark, sf_dir), columns=keys, crossed=True)
     return named.join(scored.where("kept").select(*keys).distinct(), keys, "left_semi").select(*COLUMNS)
 
 

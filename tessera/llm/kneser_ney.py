@@ -3,9 +3,15 @@
 The model is over characters: words of running text are too often new for counts of
 words, and a repeated, shouted or littered text is odd in its characters already.
 ASCII is folded (one symbol for capitals, one for digits); every other code point is a
-symbol of its own up to 2**15 of them, so all scripts are seen.  It is fit on half of at
-most `sample_docs` trusted documents (by a hash of the id, so that the sample is the same
-in each run); all other trusted ones are for the thresholds.
+symbol of its own up to 2**15 of them, so all scripts are seen.
+
+`crossed`, as the queries have it, a hash of the id deals the trusted documents to two
+halves, and a model counts all of each: together they count every trusted document.  A
+trusted document's mean log-probability is that under the half it is not in, any other's
+the mean of both, and the thresholds come from all trusted documents.  Else there is one
+model, of the first half, which scores all, and the second half is for the thresholds.
+Only where `sample_docs` is given are at most so many trusted documents counted; the
+others go to the thresholds.
 
 Counts, continuation counts, discounts, context totals and probabilities of each
 order are tables that are grouped and joined by n-gram, dealt by its hash.  The
@@ -18,8 +24,8 @@ or goes to all tasks.
 A document of n symbols deviates by (mean log-probability - the language's median)
 * sqrt(n), which is comparable for short and long texts.  It is kept within
 `stretch` times the `tail` and 1 - `tail` quantiles of its language's trusted
-documents that are not counted; languages with fewer than `least_docs` of those, and null, use the
-quantiles of all.  Null and empty texts are rejected with a null perplexity.  With
+documents, each scored by a model that does not count it; languages with fewer than `least_docs` of those,
+and null, use the quantiles of all.  Null and empty texts are rejected with a null perplexity.  With
 no trusted document everything that has text is kept.  Extra columns pass through; one
 named like a result comes out with `_in` after its name.  Repeated rows give repeated
 results.
@@ -32,10 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import Exchange, blocked, deltas, expand, shard_of, sized, squeeze, sums, table_bytes
+from .blocks import Exchange, blocked, deltas, expand, narrow, shard_of, sized, squeeze, sums, table_bytes
 from .carry import REST, packed, unpacked
 from .session import cut
 from .textkit import Chunk, chunks, mix, release
@@ -88,21 +95,56 @@ def grams(c: Chunk, order: int) -> tuple[np.ndarray, np.ndarray]:
     return code, offsets
 
 
-def gram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(gram, c) over docs (__text): counted in each batch, then by hash of the n-gram."""
+def gram_counts(docs: DataFrame, order: int, folds: int = 0) -> DataFrame:
+    """(gram, c) over docs (__text): counted in each batch, then by hash of the n-gram.  With folds: (gram, c0, c1, ..), a count for each fold of docs (__text compressed, fold)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
         for b in batches:
-            parts = [np.unique(grams(c, order)[0], return_counts=True) for c in chunks(b.column(0))]
+            parts, texts = [], b.column(0)
+            if folds:
+                texts = pa.array([None if t is None else z.decompress(t) for t in texts.to_pylist()], pa.large_binary())
+            for c in chunks(texts):
+                code, offsets = grams(c, order)
+                for f in range(max(1, folds)):
+                    own = code[np.repeat(b.column(1).to_numpy()[c.first : c.first + c.n] == f, np.diff(offsets))] if folds else code
+                    found, n = np.unique(own, return_counts=True)
+                    parts.append((found, n, np.full(len(found), f, np.int32)))
             if not parts:
                 continue
-            found, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts]), minlength=len(found)).astype(np.int64)
-            for i in range(0, len(found), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(found[i : i + 65536]), pa.array(total[i : i + 65536])], names=["gram", "c"])
+            gram, n, fold = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.lexsort((gram, fold))
+            gram, n, fold = gram[by], n[by], fold[by]
+            at = np.flatnonzero((np.diff(gram, prepend=-1) != 0) | (np.diff(fold, prepend=-1) != 0))
+            gram, n, fold = gram[at], np.add.reduceat(n, at) if len(at) else n, fold[at]
+            for i in range(0, len(gram), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65536]) for x in (gram, n, fold)], names=["gram", "c", "fold"])
+        release()
+
+    counted = docs.select("__text", *["fold"][:folds]).mapInArrow(count, "gram long, c long, fold int").groupBy("gram")
+    return counted.agg(*[F.sum(F.when(F.col("fold") == f, F.col("c")).otherwise(0)).alias(f"c{f}") for f in range(folds)] or [F.sum("c").alias("c")])
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """(__text compressed, fold) of the rows of docs (doc_id, text) whose id is one of ids (doc_id, fold int), whose ids differ.
+
+    A bit map of the ids' hashes, of bounded size, drops most other rows where they lie; the join is exact, and moves
+    compressed texts where the ids are too many to send to all.
+    """
+    slot = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(bits))
+    at, bit = F.floor(slot / 64).alias("__at"), F.pmod(slot, F.lit(64)).cast("int").alias("__bit")
+    words = ids.select(at, bit).select("__at", F.expr("shiftleft(1L, __bit)").alias("__set")).groupBy("__at").agg(F.bit_or("__set").alias("__bits"))
+    near = docs.select("doc_id", "text", at, bit).join(F.broadcast(words), "__at").where(F.getbit("__bits", F.col("__bit")) == 1)
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            texts = [None if t is None else z.compress(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
         release()
 
-    return docs.select("__text").mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    small = near.select("doc_id", "text").mapInArrow(shrink, "doc_id long, text binary")
+    return small.join(ids, "doc_id").select(F.col("text").alias("__text"), "fold")
 
 
 def last_of(gram: Column, n: int) -> Column:
@@ -115,60 +157,84 @@ def context_of(gram: Column) -> Column:
 
 
 def model_tables(counts: DataFrame, order: int) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
-    """(probability of each n-gram seen, weight of the shorter n-gram after each context seen), by n."""
+    """(probability of each n-gram seen, weight of the shorter n-gram after each context seen), by n.
+
+    Each column of counts but gram, c and what follows it, is a model; what it has not seen is null in its columns.
+    """
+    models = [c[1:] for c in counts.columns if c != "gram"]
+    of = lambda name, m: F.col(name + m)
     levels = {order: counts}
     for n in range(order, 1, -1):
-        levels[n - 1] = levels[n].groupBy(last_of(F.col("gram"), n - 1).alias("gram")).agg(F.count("*").alias("c"))
+        levels[n - 1] = levels[n].groupBy(last_of(F.col("gram"), n - 1).alias("gram")).agg(*[F.count_if(of("c", m) > 0).alias(f"c{m}") for m in models])
     probability, weight = {}, {}
-    lower = counts.sparkSession.range(1).select(F.col("id").alias("low"), F.lit(1.0 / SYMBOLS).alias("below"))
+    lower = counts.sparkSession.range(1).select(F.col("id").alias("low"), *[F.lit(1.0 / SYMBOLS).alias(f"below{m}") for m in models])
     for n in range(1, order + 1):
         t = levels[n]
-        # at most four numbers a level come to the driver
-        k = t.agg(*[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]).first()
-        n1, n2, n3, n4 = (max(1, x) for x in k)
-        y = n1 / (n1 + 2 * n2)
-        # a tenth at least: a context whose counts had none of it taken off would give nothing to what it has not seen
-        d = [max(0.1, min(i, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        discount = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        t = t.withColumn("d", discount).withColumn("context", context_of(F.col("gram")))
-        totals = t.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("w"))
+        # at most four numbers a level and model come to the driver
+        k = t.agg(*[F.count_if(of("c", m) == i) for m in models for i in (1, 2, 3, 4)]).first()
+        discounts = {}
+        for j, m in enumerate(models):
+            n1, n2, n3, n4 = (max(1, x) for x in k[4 * j : 4 * j + 4])
+            y = n1 / (n1 + 2 * n2)
+            # a tenth at least: a context whose counts had none of it taken off would give nothing to what it has not seen
+            d = [max(0.1, min(i, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+            discounts[f"d{m}"] = F.when(of("c", m) == 0, 0.0).when(of("c", m) == 1, d[0]).when(of("c", m) == 2, d[1]).otherwise(d[2])
+        t = t.withColumns(discounts).withColumn("context", context_of(F.col("gram")))
+        totals = t.groupBy("context").agg(*[x for m in models for x in (F.sum(of("c", m)).alias(f"total{m}"), F.try_divide(F.sum(of("d", m)), F.sum(of("c", m))).alias(f"w{m}"))])
         t = t.join(totals, "context").withColumn("low", last_of(F.col("gram"), n - 1)).join(lower, "low")
-        p = (F.col("c") - F.col("d")) / F.col("total") + F.col("w") * F.col("below")
-        probability[n] = cut(t.select("gram", p.alias("p")))
-        weight[n] = totals.select("context", "w")
-        lower = probability[n].select(F.col("gram").alias("low"), F.col("p").alias("below"))
+        p = [F.when(of("c", m) > 0, F.try_divide(of("c", m) - of("d", m), of("total", m)) + of("w", m) * of("below", m)).alias(f"p{m}") for m in models]
+        probability[n] = cut(t.select("gram", *p))
+        weight[n] = totals.select("context", *[f"w{m}" for m in models])
+        lower = probability[n].select(F.col("gram").alias("low"), *[of("p", m).alias(f"below{m}") for m in models])
     return probability, weight
 
 
 def log_probabilities(asked: DataFrame, counts: DataFrame, order: int) -> DataFrame:
-    """(gram, logp) of the asked n-grams (gram)."""
+    """(gram, logp) of the asked n-grams (gram), a column for each of counts, with the same end of its name."""
     probability, weight = model_tables(counts, order)
-    out = asked.withColumn("p", F.lit(1.0 / SYMBOLS))
+    models = [c[1:] for c in counts.columns if c != "gram"]
+    out = asked.select("gram", *[F.lit(1.0 / SYMBOLS).alias(f"p{m}") for m in models])
     for n in range(1, order + 1):
         part = last_of(F.col("gram"), n)
-        seen = probability[n].select(F.col("gram").alias("g"), F.col("p").alias("q"))
-        after = weight[n].select(F.col("context").alias("x"), "w")
+        seen = probability[n].select(F.col("gram").alias("g"), *[F.col(f"p{m}").alias(f"q{m}") for m in models])
+        after = weight[n].select(F.col("context").alias("x"), *[f"w{m}" for m in models])
         out = out.withColumns({"k": part, "h": context_of(part)}).join(seen, F.col("k") == F.col("g"), "left").join(after, F.col("h") == F.col("x"), "left")
-        out = out.select("gram", F.coalesce("q", F.coalesce("w", F.lit(1.0)) * F.col("p")).alias("p"))
-    return out.select("gram", F.log("p").alias("logp"))
+        out = out.select("gram", *[F.coalesce(f"q{m}", F.coalesce(f"w{m}", F.lit(1.0)) * F.col(f"p{m}")).alias(f"p{m}") for m in models])
+    return out.select("gram", *[F.log(f"p{m}").alias(f"logp{m}") for m in models])
 
 
-def sharded(table: DataFrame, shards: int) -> DataFrame:
-    """(shard, gram, logp): each n-gram at the shard where blocks ask for it."""
+def sharded(table: DataFrame, models: list[str], shards: int) -> DataFrame:
+    """(shard, gram, models): each n-gram at the shard where blocks ask for it."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shard = shard_of(mix(b.column(0).to_numpy().astype(np.uint64)), shards)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *b.columns], names=["shard", "gram", "logp"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *b.columns], names=["shard", "gram", *models])
+
+    return table.select("gram", *models).mapInArrow(deal, ", ".join(["shard int, gram long", *(f"{m} double" for m in models)]))
+
+
+#: Steps of the log-probabilities in messages, for 1: a mean of them is out by less than 1.2e-10.
+STEPS = 1 << 32
+
 
-    return table.select("gram", "logp").mapInArrow(deal, "shard int, gram long, logp double")
+def stepped(logps: list[np.ndarray]) -> list[np.ndarray]:
+    """Log-probabilities by each model as whole steps down from 0 and, after the first model, differences from it (2d, or -2d - 1 below 0)."""
+    first, *other = [np.rint(x * -STEPS).astype(np.int64) for x in logps]
+    return [narrow(first), *[narrow((x - first) << 1 ^ (x - first) >> 63) for x in other]]
+
+
+def unstepped(sent: list[np.ndarray]) -> list[np.ndarray]:
+    first, *other = [x.astype(np.int64) for x in sent]
+    return [first / -STEPS, *[(first + (d >> 1 ^ -(d & 1))) / -STEPS for d in other]]
 
 
 def scores(docs: DataFrame, columns: list[str], known: DataFrame, order: int, block_bytes: int = 3 << 19, shard_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, columns, __n (symbols) and __m (mean log-probability, null without text) for each row of docs (doc_id, text, columns).
+    """doc_id, columns, __n (symbols) and a mean log-probability by each model (null without text) for each row of docs (doc_id, text, columns).
 
-    known: (gram, logp) of all n-grams that occur.
+    known: (gram, its log-probability by each model) of all n-grams that occur.
     """
+    models = [c for c in known.columns if c != "gram"]
     size = table_bytes(docs)
     blocks, _ = blocked(docs, columns, sized(docs, block_bytes))
     exchange = Exchange(blocks, max(64, math.ceil(size / shard_bytes)), size)
@@ -189,32 +255,36 @@ def scores(docs: DataFrame, columns: list[str], known: DataFrame, order: int, bl
             yield int(shard[i]), squeeze(deltas(codes[i:j].astype(np.uint64)))
 
     def look_up(messages, rows):
-        gram, logp = rows["gram"].to_numpy(), rows["logp"].to_numpy()
+        gram = rows["gram"].to_numpy()
         by = np.argsort(gram)
-        gram, logp = gram[by], logp[by]
+        gram, logps = gram[by], [rows[m].to_numpy()[by] for m in models]
         for block, body in messages:
-            yield block, squeeze(logp[np.searchsorted(gram, sums(expand(body)[0]).astype(np.int64))])
+            at = np.searchsorted(gram, sums(expand(body)[0]).astype(np.int64))
+            yield block, squeeze(*stepped([logp[at] for logp in logps]))
 
     def add(table, answers, state):
         codes, _ = different(table)
-        told = np.concatenate([expand(answers[s])[0] for s in sorted(answers)]) if answers else np.empty(0)
         by = np.argsort(codes)
-        codes, told = codes[by], told[by]
-        n, m = [], []
+        parts = [unstepped(expand(answers[s])) for s in sorted(answers)]
+        codes, told = codes[by], [np.concatenate([p[i] for p in parts])[by] if parts else np.empty(0) for i in range(len(models))]
+        n, means = [], [[] for _ in models]
         for c in chunks(table["text"]):
             code, offsets = grams(c, order)
-            length, s = np.diff(offsets), np.zeros(c.n)
+            length, at = np.diff(offsets), np.searchsorted(codes, code)
             full = np.flatnonzero(length)
-            if len(full):
-                s[full] = np.add.reduceat(told[np.searchsorted(codes, code)], offsets[full])
+            for logp, m in zip(told, means, strict=True):
+                s = np.zeros(c.n)
+                if len(full):
+                    s[full] = np.add.reduceat(logp[at], offsets[full])
+                m.append(s / np.maximum(length, 1))
             n.append(length)
-            m.append(s / np.maximum(length, 1))
-        n, m = np.concatenate(n), np.concatenate(m)
-        return pa.table({"doc_id": table["doc_id"], **{c: table[c] for c in columns}, "__n": pa.array(n, pa.int64()), "__m": pa.array(m, pa.float64(), mask=n == 0)})
+        n = np.concatenate(n)
+        found = {name: pa.array(np.concatenate(m), pa.float64(), mask=n == 0) for name, m in zip(models, means, strict=True)}
+        return pa.table({"doc_id": table["doc_id"], **{c: table[c] for c in columns}, "__n": pa.array(n, pa.int64()), **found})
 
-    exchange.round(ask, look_up, sharded(known, shards))
+    exchange.round(ask, look_up, sharded(known, models, shards))
     kinds = dict(blocks.dtypes)
-    return exchange.finish(add, ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in columns), "__n long, __m double"]))
+    return exchange.finish(add, ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in columns), "__n long", *(f"{m} double" for m in models)]))
 
 
 def quantiles(values: DataFrame, fractions: list[float], bins: int) -> DataFrame:
@@ -240,26 +310,44 @@ def quantiles(values: DataFrame, fractions: list[float], bins: int) -> DataFrame
     return found.groupBy("lang", "docs").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda y: y["v"]).alias("q"))
 
 
-def quality_classifier(docs: DataFrame, trusted: DataFrame, order: int = 4, sample_docs: int = 8000, tail: float = 0.005, stretch: float = 1.75, least_docs: int = 50, columns: list[str] | None = None) -> DataFrame:
+def held_out(ids: DataFrame, crossed: bool, sample_docs: int | None) -> DataFrame:
+    """(doc_id, fold) of ids (doc_id): the model that counts the document, null if none does."""
+    half = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(2)).cast("int")
+    fold = half if crossed else F.when(half == 0, half)
+    if sample_docs is None:
+        return ids.withColumn("fold", fold)
+    chosen = ids.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(sample_docs).withColumn("fold", fold)
+    return ids.join(chosen, "doc_id", "left")
+
+
+def quality_classifier(docs: DataFrame, trusted: DataFrame, order: int = 4, sample_docs: int | None = None, tail: float = 0.005, stretch: float = 1.75, least_docs: int = 50, columns: list[str] | None = None, crossed: bool = False) -> DataFrame:
     """columns, n_chars_scored, perplexity, deviation and kept for each row of docs (doc_id, text, lang, columns); trusted: (doc_id)."""
     columns = columns or ["doc_id", "lang"]
     shown = unpacked(columns, OWN)
-    ids = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    # a sample of at most sample_docs ids: small enough to send to all
-    order_by = F.xxhash64(F.lit(7), "doc_id")
-    chosen = cut(ids.orderBy(order_by, "doc_id").limit(sample_docs).withColumn("half", F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(2))))
+    ids = trusted.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    folds = cut(held_out(ids, crossed, sample_docs))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("__lang"), packed(columns))
-    counted = texts.join(F.broadcast(chosen.where("half = 0").select("doc_id")), "doc_id").select(F.col("text").alias("__text"))
-    counts = cut(gram_counts(counted, order))
-    if counts.isEmpty():
+    halves = [0, 1] if crossed else [0]
+    counts = cut(gram_counts(with_ids(texts, folds.where(F.col("fold").isNotNull())), order, len(halves)))
+    # models that have seen something
+    some = counts.agg(*[F.coalesce(F.bool_or(F.col(f"c{h}") > 0), F.lit(False)) for h in halves]).first()
+    models = [h for h in halves if some[h]]
+    if not models:
         none = F.lit(None).cast("double")
         has = F.coalesce(F.length("text") > 0, F.lit(False))
         return texts.select(*shown, F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_scored"), none.alias("perplexity"), none.alias("deviation"), has.alias("kept"))
     asked = gram_counts(texts.select(F.col("text").alias("__text")), order).select("gram")
-    scored = cut(scores(texts, ["__lang", REST], log_probabilities(asked, counts, order), order))
-    # all trusted documents that are not counted
-    rest = ids.join(F.broadcast(chosen.where("half = 0")), "doc_id", "left_anti")
-    calm = cut(scored.where(F.col("__m").isNotNull()).join(rest, "doc_id").select(F.col("__lang").alias("lang"), F.col("__m").alias("m"), F.col("__n").alias("n")))
+    known = log_probabilities(asked, counts.select("gram", *[f"c{h}" for h in models]), order)
+    scored = cut(scores(texts, ["__lang", REST], known, order))
+    # rows without an id would meet in one task of the join
+    scored = scored.where(F.col("doc_id").isNotNull()).join(folds.withColumn("__trusted", F.lit(True)), "doc_id", "left").unionByName(scored.where(F.col("doc_id").isNull()), allowMissingColumns=True)
+    fold, m = F.col("fold"), [F.col(f"logp{h}") for h in models]
+    if len(models) == 2:
+        mean, calm = F.when(fold == 0, m[1]).when(fold == 1, m[0]).otherwise((m[0] + m[1]) / 2), F.col("__trusted")
+    else:
+        mean, calm = m[0], F.col("__trusted") & F.coalesce(fold != models[0], F.lit(True))
+    scored = scored.select("__lang", REST, "__n", mean.alias("__m"), calm.alias("__calm"))
+    calm = cut(scored.where(F.col("__calm") & F.col("__m").isNotNull()).select(F.col("__lang").alias("lang"), F.col("__m").alias("m"), F.col("__n").alias("n")))
     everywhere = calm.where(F.col("lang").isNotNull()).unionByName(calm.withColumn("lang", F.lit(None).cast("string")))
     median = quantiles(everywhere.select("lang", F.col("m").alias("x")), [0.5], 10000).select("lang", "docs", F.col("q")[0].alias("mu"))
     same = F.col("c.lang").eqNullSafe(F.col("d.lang"))
@@ -284,5 +372,5 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    out = quality_classifier(docs, trusted_ids(spark, sf_dir))
+    out = quality_classifier(docs, trusted_ids(spark, sf_dir), crossed=True)
     return out.withColumns({c: F.round(c, 6) for c in ("perplexity", "deviation")})

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tessera.llm import graph, kneser_ney, license_scan, lm_scoring, minhash, mixing, packing, quality_rules, recompression, suffix_dedup, textkit, topk_search
@@ -221,6 +222,76 @@ def test_thresholds_of_all_trusted_documents(spark):
     assert not any(r.kept for r in got if r.doc_id >= 3000)
 
 
+def test_every_trusted_document_counts(spark, tmp_path):
+    """The query on more trusted documents than a sample would take: both models, all thresholds and all verdicts against plain dictionaries."""
+    rng = random.Random(21)
+    parts = {"en": ["ba", "ne", "ti"], "zh": ["中", "山", "水"]}
+    rows = [(i, "".join(rng.choice(parts[g]) for _ in range(rng.randint(1, 4))), g) for i in range(9000) for g in [rng.choice(sorted(parts))]]
+    rows += [(20000 + i, "".join(rng.choice("qxz?") for _ in range(12)), "en") for i in range(9)] + [(20010, None, "en"), (20011, "", "zh"), (None, "bane", "en"), (3, "titi", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, None if i % 3 else 0) for i in range(8800)] + [(i, 0, 0) for i in range(8800, 8900)] + [(i, 1, 1) for i in range(8900, 9000)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    fold = {r.doc_id: r.h for r in spark.range(8800).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(2)).alias("h")).collect()}
+    models = [functools.cache(brute_kneser_ney([t for i, t, _ in rows if fold.get(i) == h], 4)) for h in (0, 1)]
+
+    @functools.cache
+    def mean(t, h):
+        s = [kneser_ney.NEWLINE] * 3 + [symbol_of(c) for c in t]
+        return math.fsum(math.log(models[h](tuple(s[j : j + 4]))) for j in range(len(t))) / len(t)
+
+    def score(i, t):
+        return mean(t, 1 - fold[i]) if i in fold else (mean(t, 0) + mean(t, 1)) / 2
+
+    bounds, want = {}, []
+    for g in parts:
+        calm = [(score(i, t), len(t)) for i, t, h in rows if i in fold and h == g]
+        mu = float(np.median([a for a, _ in calm]))
+        bounds[g] = (mu, *(np.quantile([(a - mu) * math.sqrt(n) for a, n in calm], [0.005, 0.995]) * 1.75))
+    for i, t, g in rows:
+        mu, low, high = bounds[g]
+        z = (score(i, t) - mu) * math.sqrt(len(t)) if t else None
+        want.append((i, len(t or ""), bool(t) and bool(low <= z <= high), math.exp(-score(i, t)) if t else None, z))
+    order = lambda r: (str(r[0]), r[1])
+    got = [(r.doc_id, r.n_chars_scored, r.kept, r.perplexity, r.deviation) for r in kneser_ney.op2_quality_classifier(spark, str(tmp_path)).collect()]
+    for a, b in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert a[:3] == b[:3] and (a[3:] == b[3:] if b[3] is None else np.allclose(a[3:], b[3:], rtol=1e-6, atol=1e-6))
+
+
+def test_steps_of_log_probabilities():
+    rng = np.random.default_rng(8)
+    a = [-rng.exponential(4, 1000), -rng.exponential(4, 1000), np.full(1000, -0.0)]
+    for models in (a, a[:1], [x[:0] for x in a]):
+        back = kneser_ney.unstepped(expand(squeeze(*kneser_ney.stepped(models))))
+        assert len(back) == len(models) and all(np.abs(x - y).max(initial=0) <= 0.5 / kneser_ney.STEPS for x, y in zip(back, models, strict=True))
+
+
+@pytest.mark.parametrize("trusted", [[], [1], [1, 2, 3, 4, 5, 6, 7], [99]])
+def test_few_trusted_documents_in_halves(spark, trusted):
+    """Where one half or both have no text, the other model, or no thresholds, remain."""
+    rows = [(i, f"row {i} " * i, "en", "a", 1) for i in range(1, 8)] + [(None, "a b", None, None, None), (3, None, "en", "a", 1), (8, "", "en", "a", 1)]
+    ids = spark.createDataFrame([(i,) for i in [*trusted, None]], "doc_id long")
+    got = kneser_ney.quality_classifier(frame(spark, rows), ids, crossed=True).collect()
+    assert sorted((str(r.doc_id), r.n_chars_scored) for r in got) == sorted((str(r[0]), len(r[1] or "")) for r in rows)
+    assert not any(r.kept for r in got if r.doc_id == 8 or not r.n_chars_scored)
+    if len(trusted) < 2:
+        assert all(r.kept for r in got if r.n_chars_scored)
+
+
+def test_texts_of_many_ids(spark):
+    """The bit map only saves work: with few bits, and without broadcasts, the same rows come out."""
+    rows = [(i % 700, f"text {i}") for i in range(2000)] + [(None, "no id"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.range(0, 900, 3).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("fold"))
+    want = Counter((t, i % 2) for i, t in rows if i is not None and i % 3 == 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for bits in (64, 1 << 25):
+            got = Counter((None if r[0] is None else zstandard.decompress(bytes(r[0])).decode(), r[1]) for r in kneser_ney.with_ids(docs, ids, bits).collect())
+            assert got == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_quantiles(spark):
     rng = random.Random(6)
     values = {"en": [rng.gauss(0, 1) for _ in range(301)], "fr": [rng.choice([-2.5, 1.0, 1.001]) for _ in range(64)], "xx": [3.25], None: [rng.random() / 50 for _ in range(100)]}
