@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import cut
+from .textkit import release
 
 #: Share of the edges, as its inverse, from which on a node is a hub.
 HUBS = 1000
 #: Edges that a task takes on.
 EDGES_A_TASK = 200_000
+#: Edges that one task joins whole, without rounds: some 100 MB there.
+ONE_TASK = 1_000_000
 
 
 def with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
@@ -25,9 +32,42 @@ def with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
     return near.unionByName(marked.where("hub is not null").select("u", "v", F.col("hub_m").alias("m")))
 
 
-def connected(edges: DataFrame, most: int = 60) -> DataFrame:
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the nodes of edges u to v in order, the least node that each reaches)."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[label]
+        # each root goes to the least root beside it, then all look through to the roots
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def joined(edges: DataFrame) -> DataFrame:
+    """(node, component) of few edges (u, v), in one task."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if parts:
+            node, component = least_reachable(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            for i in range(0, len(node), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65536]) for x in (node, component)], names=["node", "component"])
+        release()
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(join, "node long, component long")
+
+
+def connected(edges: DataFrame, most: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) of edges (a, b): component is the least node reachable; self-loops and repeats are welcome.
 
+    Up to `one_task` different edges meet in one task.  More take rounds: each is several jobs, whose plans, tables sent
+    to all tasks and records of tasks the driver holds.
+
     Alternating large-star and small-star rounds: a node's neighbours move to its
     least neighbour, so stars grow and their number of rounds is logarithmic.  A
     hub's edges are aggregated partially, and its least neighbour goes to where its
@@ -40,6 +80,8 @@ def connected(edges: DataFrame, most: int = 60) -> DataFrame:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if state == seen or not state[0]:
             break
+        if state[0] <= one_task:
+            return joined(e)
         seen = state
         hub = max(1, 2 * state[0] // HUBS)
         # few edges need few tasks: each shuffle leaves files for each of them

@@ -409,6 +409,37 @@ def test_components(spark):
     assert graph.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_rounds_and_in_one_task(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(3000) - 1500, rng.randrange(3000) - 1500) for _ in range(1300)] + [(5000 + i, 5001 + i) for i in range(300)] + [(9000 + i, 8999) for i in range(300)]
+    edges = [(a * 2**40, b * 2**40) for a, b in edges] + [(None, 1), (2, None)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges[:-2]:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    want = {x: find(x) for x in root}
+    table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for one_task in (0, 10**6):
+        got = graph.connected(table, one_task=one_task).collect()
+        assert len(got) == len(want) and dict(got) == want
+    u, v = (np.array(x) for x in zip(*[(a, b) for a, b in edges[:-2] if a != b], strict=True))
+    nodes, least = graph.least_reachable(u, v)
+    assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == want
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    # each round left its plans, broadcast hubs and tasks' records with the driver
+    table = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    spark.sparkContext.setJobGroup("few edges", "")
+    try:
+        assert {r.component for r in graph.connected(table).collect()} == {0}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")) <= 8
+
+
 # suffix dedup
 
 
