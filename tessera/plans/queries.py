@@ -738,10 +738,18 @@ def tiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(back, "request").select("request", "width", "height", same.alias("same"))
 
 
+def webp_pieces(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
+    """Rendered images of at most `side` pixels on a side, each from a group of its own, as they share no tile."""
+    level = level_of(spark, sf_dir)
+    q = one_request(level, (64, 0.25, 0.625, 0.125, 2.0), "nearest")
+    p = reproject.Reprojection(3857, q.box, q.width, q.height, "nearest")
+    return kernel.extract_tiles(spark, reproject.chunk_table(spark, p, side), tiles_of(spark, sf_dir), level, 3857, together=1)
+
+
 @query()
 def webp_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    level = level_of(spark, sf_dir)
-    out = kernel.extract_tiles(spark, [one_request(level, (64, 0.25, 0.625, 0.125, 2.0), "nearest")], tiles_of(spark, sf_dir), level)
+    """The whole height as images, one below the other: one where it fits the format, else `request` is the image's number."""
+    out = webp_pieces(spark, sf_dir, webp.MOST_SIDE)
     return webp.to_webp(out, None, (-1.0, 1.0)).select("request", F.length("image").alias("size"), F.hex(F.substring("image", 9, 8)).alias("kind"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import crs
 from tessera.functions.geo import GeoTransform, Level, axis_scale, xyz_bbox
 from tessera.operators import catalog, kernel, levels, reproject, resample, rgba, sample, stats
+from tessera.plans import queries
 from tessera.sources import cache, cog, geotiff, tiff, webp
 
 
@@ -344,6 +345,32 @@ def test_webp(shape, spread):
     np.testing.assert_array_equal(decode_vp8l(webp.encode(rgba_)), rgba_)
 
 
+def test_webp_bits_in_steps(monkeypatch):
+    rgba_ = np.random.default_rng(4).integers(0, 200, (9, 13, 4)).astype(np.uint8)
+    whole = webp.encode(rgba_)
+    monkeypatch.setattr(webp, "STEP", 10)
+    assert webp.encode(rgba_) == whole
+    np.testing.assert_array_equal(decode_vp8l(whole), rgba_)
+
+
+def test_webp_query_beyond_one_image(spark, tmp_path):
+    """A raster whose rendering is four rows higher than an image may be: the rest is an image of its own, no row is lost."""
+    n = 25 * 4096 + 1
+    sample_ = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: ((F.col("id") * 7 + k * 13) % 200 / 100 - 1).cast("float"))
+    spark.range(n).select(F.col("id").alias("vec_id"), sample_.alias("embedding"), (F.col("id") % 10).cast("int").alias("label")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    oy, ox = np.mgrid[0:16388, 0:64]
+    y, x = np.floor(0.125 + 2.0 * oy + 0.5).astype(int), np.floor(0.25 + 0.625 * ox + 0.5).astype(int)
+    tile = y // 8 * 25 + x // 8
+    value = ((tile * 7 + (y % 8 * 8 + x % 8) * 13) % 200 / 100 - 1).astype(np.float32)
+    value[(tile % 10 == 0) | (tile >= n)] = np.nan
+    want = [webp.encode(webp.rgba_of(v[..., None], None, (-1.0, 1.0))) for v in (value[:16384], value[16384:])]
+    got = queries.QUERIES["webp_encode"](spark, str(tmp_path)).orderBy("request").collect()
+    assert [tuple(r) for r in got] == [(i, len(w), b"WEBPVP8L".hex().upper()) for i, w in enumerate(want)]
+    images = webp.to_webp(queries.webp_pieces(spark, str(tmp_path), webp.MOST_SIDE), None, (-1.0, 1.0)).orderBy("request").collect()
+    assert [bytes(r["image"]) for r in images] == want
+    np.testing.assert_array_equal(decode_vp8l(want[1])[..., 3] == 0, np.isnan(value[16384:]))
+
+
 def test_rgba_of_matches_columns(spark):
     rng = np.random.default_rng(8)
     px = rng.uniform(-20, 280, (4, 5, 4)).astype(np.float32)
